@@ -7,18 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe
+from tracemill.llm import bpe, decontaminate, grammar
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair": op1_repair,
     "op9_bpe": op9_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
