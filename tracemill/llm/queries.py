@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, decontaminate, grammar
+from tracemill.llm import bpe, decontaminate, grammar, html_text
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -27,6 +31,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
+    "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
