@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, decontaminate, grammar, html_text
+from tracemill.llm import bpe, classifier, decontaminate, grammar, html_text
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,13 @@ def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = classifier.fit(docs, labels.where(~classifier.held_out()))
+    scored = classifier.score(docs, model, keep=("doc_id",))
+    return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -31,6 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
+    "op6_quality": op6_quality,
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
