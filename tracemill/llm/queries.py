@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, classifier, decontaminate, grammar, html_text
+from tracemill.llm import bpe, classifier, decontaminate, grammar, html_text, substring_dedup
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +18,11 @@ def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = classifier.fit(docs, labels.where(~classifier.held_out()))
@@ -38,6 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
+    "op2_substrings": op2_substrings,
     "op6_quality": op6_quality,
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
