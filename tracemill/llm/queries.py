@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, classifier, decontaminate, grammar, html_text, substring_dedup
+from tracemill.llm import bpe, chat, classifier, decontaminate, grammar, html_text, substring_dedup
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    messages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(messages.unionByName(extra)))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
     "op2_substrings": op2_substrings,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
