@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, grammar, html_text, substring_dedup
+from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, grammar, html_text, ngram_join, substring_dedup
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = classifier.fit(docs, labels.where(~classifier.held_out()))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
     "op2_substrings": op2_substrings,
     "op4_vectors": op4_vectors,
+    "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op8_html": op8_html,
