@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, grammar, html_text, ngram_join, substring_dedup
+from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, grammar, html_text, line_dedup, ngram_join, substring_dedup
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
     "op2_substrings": op2_substrings,
+    "op3_lines": op3_lines,
     "op4_vectors": op4_vectors,
     "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
