@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import candidate_id, normalize_identity
+from tracemill.sources.shared import materialize
 
 # Replies that only steer a conversation, and envelopes that hold no question.
 CONTROL_REPLY = r"^(?:[0-9]+|[一二三四五六七八九十]|(?:好的)?继续|确认|同意|符合|可以|允许|发布|补吧|好|好的|是|否|不|开始|重试)$"
@@ -79,7 +80,8 @@ def tree_paths(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id",
         up = level.select(*by, F.col("node").alias("parent"), F.col("path").alias("__p"), F.col("sort_key").alias("__s"))
         level = base.join(up, [*by, "parent"]).where(~F.array_contains("__p", F.col("node"))).select(
             *by, "node", F.lit(depth).alias("depth"), F.concat("__p", F.array("node")).alias("path"), F.concat("__s", F.array("k")).alias("sort_key")
-        ).persist()
+        )
+        level = materialize(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -149,14 +151,14 @@ def validate_session_chain(reports: DataFrame, by: Sequence[str] = ("project_id"
     checked = links.join(back, [*by, "previous_id"], "left").join(fore, [*by, "next_id"], "left")
     one_sided = (F.col("previous_id").isNotNull() & ~F.col("__back").eqNullSafe(F.col("session_id"))) | (F.col("next_id").isNotNull() & ~F.col("__fore").eqNullSafe(F.col("session_id")))
     # up: the ancestor reached so far, null once the head has been passed
-    state = links.select(*by, "session_id", F.col("previous_id").alias("up"), F.when(F.col("previous_id").isNull(), 0).otherwise(1).alias("steps"))
+    state, waiting = links.select(*by, "session_id", F.col("previous_id").alias("up")), -1
     for _ in range(rounds):
-        hop = state.select(*by, F.col("session_id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
-        state = state.join(hop, [*by, "up"], "left").select(
-            *by, "session_id", F.when(F.col("up").isNotNull(), F.col("__up")).alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")
-        ).persist()
-        if state.where("up IS NOT NULL").isEmpty() or _ >= 24:
+        hop = state.select(*by, F.col("session_id").alias("up"), F.col("up").alias("__up"))
+        state = materialize(state.join(hop, [*by, "up"], "left").select(*by, "session_id", F.when(F.col("up").isNotNull(), F.col("__up")).alias("up")))
+        left = state.where("up IS NOT NULL").count()
+        if left in (0, waiting):  # none, or only those behind a cycle or a missing session
             break
+        waiting = left
     reached = state.groupBy(*by).agg(F.count_if(F.col("up").isNull()).alias("reached"))
     got = checked.groupBy(*by).agg(
         F.count("*").alias("sessions"), F.count_if(F.col("previous_id").isNull()).alias("heads"), F.count_if(F.col("next_id").isNull()).alias("tails"), F.count_if(one_sided).alias("one_sided")
