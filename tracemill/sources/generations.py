@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.sources.shared import materialize
+
 
 def content_digest(df: DataFrame, by: str = "project_id") -> DataFrame:
     """A digest of each project's rows that does not depend on their order: count and sum of row hashes."""
@@ -33,7 +35,7 @@ def write_generation(df: DataFrame, table: str, generation_id: str) -> DataFrame
     if log is not None:
         last = log.groupBy("project_id").agg(F.max_by("content_digest", F.struct("published_at", "generation_id")).alias("__last"))
         digests = digests.join(last, "project_id", "left").where("__last IS NULL OR __last <> content_digest").drop("__last")
-    digests = digests.withColumn("generation_id", F.lit(generation_id)).persist()
+    digests = materialize(digests.withColumn("generation_id", F.lit(generation_id)))
     rows.join(digests.select("project_id", "generation_id"), "project_id").write.mode("append").partitionBy("project_id", "generation_id").parquet(f"{table}/data")
     published = digests.select("project_id", "generation_id", "content_digest", F.current_timestamp().alias("published_at"))
     published.write.mode("append").parquet(f"{table}/_log")
