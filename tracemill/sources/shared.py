@@ -1,11 +1,13 @@
-"""Intermediate tables in the folder that the session shares (spark.checkpoint.dir)."""
+"""Intermediate tables in the folder that the session shares (spark.checkpoint.dir), and the package on its executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -18,3 +20,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once a context: Spark serves the archive to every worker."""
+    context = spark.sparkContext
+    if getattr(context, "_tracemill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tracemill.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tracemill_shipped = True
