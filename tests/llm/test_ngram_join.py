@@ -46,7 +46,9 @@ def test_brute_force(spark, n, num, seed):
     rows += [(10**9 + i, " ".join([*long[:100], f"edit{i}", *long[100:]])) for i in range(60)]
     rows += [(5 * 10**8, None), (5 * 10**8 + 1, ""), (5 * 10**8 + 2, " \n"), (5 * 10**8 + 3, "ONE two"), (5 * 10**8 + 4, "one TWO"), (5 * 10**8 + 5, "x " * 4000)]
     frame = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, key string").repartition(5)
-    got = sorted(tuple(r) for r in ngram_components(frame, n=n, num=num).collect())
+    # the last case leaves almost everything to families of small blocks
+    options = {"rounds": 1, "small": 2, "block": 7} if seed == 2 else {}
+    got = sorted(tuple(r) for r in ngram_components(frame, n=n, num=num, **options).collect())
     assert got == brute(rows, n, num, 100)
 
 

@@ -1,16 +1,18 @@
 """From candidate groups to components, without all pairs of a group.
 
-Candidates are rows (key, id): ids that share a key may be alike. First every id meets the first id of the groups
-it shares most with (a star), verified pairs are united, then the components that still share a key meet in the same way,
-and last every pair of ids of different components that shares a key is verified. Ids of one component need no
-comparison, as they are connected anyway. So a group of thousands alike costs a comparison a member, while no link between
-components is lost.
+Candidates are rows (key, id): ids that share a key may be alike. In each round every component meets, in the key it
+shares most often, one head that is drawn anew by hash (a star); verified pairs are united. So a group of thousands alike
+costs a comparison a member and round. Then what still shares a key in different components is verified whole: keys of at
+most ``small`` ids by their pairs, and ids that larger keys connect (a family) in blocks of bounded size, a task getting
+two blocks and giving only links that join components. Ids of one component need no comparison, as they are connected
+anyway. No link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +34,78 @@ def verify(pairs: DataFrame, payload: DataFrame, alike: Callable[[list, list], l
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """rows (key, id, component) -> (a, b): for each component, its first id in the key it shares most often with another one."""
+def _star(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (key, id, component) -> (a, b): for each component, its pair with the head of the key group it shares most often."""
     heads = rows.groupBy("key", "component").agg(F.min("id").alias("id"))
-    first = heads.groupBy("key").agg(F.min(F.struct("component", "id")).alias("f"), F.max("component").alias("last")).where("f.component < last")
+    first = heads.groupBy("key").agg(F.min(F.struct(F.xxhash64("component", F.lit(seed)).alias("h"), "component", "id")).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     met = heads.join(rehashed(first, "key"), "key").where("component <> f.component").select("component", "id", F.col("f.component").alias("other"), F.col("f.id").alias("head"))
     met = met.groupBy("component", "other").agg(F.count("*").alias("n"), F.min(F.struct("id", "head")).alias("p"))
     best = met.groupBy("component").agg(F.max(F.struct("n", F.col("p.id").alias("a"), F.col("p.head").alias("b"))).alias("m"))
     return best.select("m.a", "m.b")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of ``width`` columns at a time."""
+    sets = left + right
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    row, place = row[keep], rank[place[keep]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (low, low + width))
+        here = np.zeros((len(sets), width), np.float32)
+        here[row[a:b], place[a:b] - low] = 1
+        total += here[: len(left)] @ here[len(left) :].T
+    return np.rint(total).astype(np.int64)
+
+
+def _joining(pairs: list[tuple[int, int]], ids: list[int], components: list[int]) -> list[tuple[int, int]]:
+    """Of links between places, those that join components not joined yet."""
+    up: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (b := up.get(a, a)) != a:
+            a = b
+        return a
+
+    out = []
+    for i, j in pairs:
+        a, b = sorted((root(components[i]), root(components[j])))
+        if a != b:
+            up[b] = a
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _family_links(members: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) within families, from members (id, component, family): all blocks of a family against each other."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("m"))
+    rows = members.join(rehashed(sizes, "family"), "family").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(payload, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "payload")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        i, j = rows[0]["i"], rows[0]["j"]
+        left = [r for r in rows if r["block"] == i]
+        right = left if i == j else [r for r in rows if r["block"] == j]
+        x = [as_set(r["payload"]) for r in left]
+        y = x if i == j else [as_set(r["payload"]) for r in right]
+        common = common_counts(x, y)
+        size = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+        at = np.argwhere(den * common >= num * (size - common))
+        both = left + right
+        found = _joining([(int(a), len(left) + int(b)) for a, b in at if i != j or a < b], [r["id"] for r in both], [r["component"] for r in both])
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _with_components(candidates: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return candidates.withColumn("component", F.col("id"))
@@ -49,25 +113,33 @@ def _with_components(candidates: DataFrame, components: DataFrame | None) -> Dat
 
 
 def link(
-    candidates: DataFrame, payload: DataFrame, alike: Callable[[list, list], list[bool]], *, rounds: int = 2, size_filter: Callable[[str, str], Column] | None = None
+    candidates: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], alike: Callable[[list, list], list[bool]], num: int, den: int, *, rounds: int = 4,
+    size_filter: Callable[[str, str], Column] | None = None, small: int = 48, block: int = 384,
 ) -> DataFrame:
     """(id, component) of all ids with a link, from candidates (key long, id long, further columns) and payload (id, payload).
 
-    ``size_filter`` gives a condition on columns of both sides, named with _a and _b, that every link meets.
+    ``as_set`` makes a payload a sorted set of uint64; two ids are linked if their sets' similarity is num / den or more, which ``alike`` tells
+    for lists of pairs. ``size_filter`` gives a condition on columns of both sides, named with _a and _b, that every link meets. ``small`` and
+    ``block`` choose how links are found, not which.
     """
     edges = None
     components = None
-    for _ in range(rounds):
+    for seed in range(rounds):
         rows = _with_components(candidates.select("key", "id"), components)
-        found = materialize(verify(materialize(_star(rows)), payload, alike))
+        found = materialize(verify(materialize(_star(rows, seed)), payload, alike))
         edges = found if edges is None else edges.unionByName(found)
         components = materialize(connected_components(edges))
+    # keys that still join different components
     rows = _with_components(candidates, components)
-    # keys that still join different components, and all their pairs
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("head"), F.count("*").alias("m")).where("lo < hi").select("key", "head", "m")
     rows = materialize(rows.join(rehashed(open_keys, "key"), "key"))
+    large = rows.where(F.col("m") > small)
+    families = materialize(connected_components(large.select(F.col("id").alias("a"), F.col("head").alias("b")))).withColumnRenamed("component", "family")
+    members = large.select("id", "component").distinct().join(families, "id")
+    edges = edges.unionByName(materialize(_family_links(members, payload, as_set, num, den, block)))
+    rows = rows.where(F.col("m") <= small).drop("head", "m").join(families, "id", "left")
     left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab")
-    pairs = left.join(right, "key").where("component_a < component_b")
+    pairs = left.join(right, "key").where("component_a < component_b AND coalesce(family_a <> family_b, true)")
     if size_filter is not None:
         pairs = pairs.where(size_filter("_a", "_b"))
     pairs = materialize(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())

@@ -4,7 +4,7 @@ A document's set is its distinct shingles of n words. Equal sets are one class.
 x - ceil(t x) of x shingles, so they share early shingles under every global order, and candidates must pass the
 filters of several orders:
 
-1. by hash: the prefix of x - ceil(t x) + l shingles holds at least l that the other's prefix holds too, with l a tenth of
+1. by hash: the prefix of x - ceil(t x) + l shingles holds at least l that the other's prefix holds too, with l a fifth of
    the size. Counts come from shuffling packed prefixes by shingle; a class with too few shared shingles is out.
 2. by frequency, then hash, within that prefix: of its rarest shingles, up to the place that still leaves l - 1 behind,
    one must be common. Only these are joined. Shingles of a single class come first and join nothing.
@@ -60,7 +60,7 @@ class Limits:
         return -(-self.num * size // self.den)
 
     def extra(self, size: int) -> int:
-        return max(1, size // 10)
+        return max(1, size // 5)
 
     def prefix(self, size: int) -> int:
         return size - self.least(size) + self.extra(size)
@@ -162,38 +162,35 @@ def _candidates(sets: DataFrame, limits: Limits, hot_sample: int, hot_share: flo
         count[often] = np.iinfo(np.int32).max
         shared = count > 1
         g, own, count = g[shared], own[shared], count[shared]
-        order = np.argsort(own, kind="stable")
-        g, own, count = g[order], own[order], count[order]
-        for at in range(0, len(g), 1 << 16):
-            stop = min(len(g), at + (1 << 16))
-            cuts = np.concatenate([[at], at + 1 + np.flatnonzero(np.diff(own[at:stop])), [stop]])
-            rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-            cols = [classes[own[cuts[:-1]]]], [size[own[cuts[:-1]]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][0]), pa.array(cols[1][0]), pa.array([g[a:b].tobytes() for a, b in rows], pa.binary()), pa.array([count[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary())],
-                names=["id", "n", "grams", "counts"],
-            )
+        bucket = (classes[own] % parts).astype(np.int32)
+        order = np.lexsort((own, bucket))
+        g, own, count, bucket = g[order], own[order], count[order], bucket[order]
+        for rows in np.split(np.arange(len(g)), np.flatnonzero(np.diff(bucket)) + 1):
+            if len(rows):
+                cols = [np.array([bucket[rows[0]]], np.int32)], g[rows], classes[own[rows]], size[own[rows]], count[rows].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0][0]), *(pa.array([c.tobytes()], pa.binary()) for c in cols[1:])], names=["bucket", "grams", "ids", "sizes", "counts"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                keys, ids, sizes = [], [], []
-                for i, n, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "grams", "counts"))):
-                    g, c = np.frombuffer(b"".join(grams), np.uint64), np.frombuffer(b"".join(counts), np.int32)
-                    spare = len(g) - limits.needed(n) + 1
-                    if spare > 0:
-                        got = g[np.lexsort((g, c))[:spare]]
-                        keys.append(got.view(np.int64))
-                        ids.append(np.full(len(got), i, np.int64))
-                        sizes.append(np.full(len(got), n, np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "id", "n"])
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        for batch in batches:
+            for column, name, kind in zip(held, ("grams", "ids", "sizes", "counts"), (np.uint64, np.int64, np.int32, np.int32)):
+                column.extend(np.frombuffer(x, kind) for x in batch.column(name).to_pylist())
+        if not held[0]:
+            return
+        g, ids, n, count = map(np.concatenate, held)
+        order = np.lexsort((g, count, ids))
+        g, ids, n = g[order], ids[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        shared = np.diff(np.concatenate([start, [len(ids)]]))
+        spare = shared - np.array([limits.needed(int(x)) for x in n[start]]) + 1
+        keep = np.arange(len(ids)) - np.repeat(start, shared) < np.repeat(spare, shared)
+        g, ids, n = g[keep], ids[keep], n[keep]
+        for at in range(0, len(g), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (g.view(np.int64), ids, n)], names=["key", "id", "n"])
 
     packed = sets.select("c1", "n_shingles", "prefix").mapInArrow(pack, "bucket int, grams binary, owners binary, ids binary, sizes binary")
-    met = packed.repartition(parts, "bucket").mapInArrow(meet, "id long, n int, grams binary, counts binary")
-    whole = met.groupBy("id").agg(F.max("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("counts").alias("counts"))
-    return whole.mapInArrow(choose, "key long, id long, n int")
+    met = packed.repartition(parts, "bucket").mapInArrow(meet, "bucket int, grams binary, ids binary, sizes binary, counts binary")
+    return met.repartition(parts, "bucket").mapInArrow(choose, "key long, id long, n int")
 
 
 def _payload(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -237,9 +234,12 @@ def similar(left: list[bytes], right: list[bytes], num: int, den: int) -> list[b
 
 
 def ngram_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, hot_sample: int = 2000, hot_share: float = 0.01
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, hot_sample: int = 2000, hot_share: float = 0.01, **linking
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links of similarity num / den or more)."""
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links of similarity num / den or more).
+
+    Further options go to ``linking.link``.
+    """
     limits = Limits(num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
     sets = materialize(_sets(rows, n, limits))
@@ -252,8 +252,9 @@ def ngram_components(
     wanted = candidates.select("id").distinct().join(owners.select(F.col("c1").alias("id"), F.col("first").alias("doc_id")), "id")
     payload = materialize(_payload(rows, materialize(wanted), n))
     linked = link(
-        candidates, payload, lambda x, y: similar(x, y, num, den),
+        candidates, payload, lambda x: np.frombuffer(x, np.uint64), lambda x, y: similar(x, y, num, den), num, den,
         size_filter=lambda a, b: (den * F.col(f"n{a}") >= num * F.col(f"n{b}")) & (den * F.col(f"n{b}") >= num * F.col(f"n{a}")),
+        **linking,
     )
     linked = materialize(linked.select(F.col("id").alias("c1"), "component"))
     least = owners.join(linked, "c1").groupBy("component").agg(F.min("first").alias("component_id"))
