@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tracemill.llm.common import connected_components
 from tracemill.llm.embedding_dedup import near_vectors
@@ -41,6 +42,30 @@ def test_brute_force(spark):
     assert len(got) == len(rows) and same >= 0.99 * len(rows), (same, len(rows))
 
 
+@pytest.mark.parametrize("block", [2048, 300])
+def test_exact_in_a_large_label(spark, block):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    centre = unit(rng.normal(size=(2, 64)))
+    base = unit(0.85 * centre[np.arange(4000) % 2] + np.sqrt(1 - 0.85**2) * unit(rng.normal(size=(4000, 64))))
+    side = rng.normal(size=(600, 64))
+    side = unit(side - (side * base[:600]).sum(1, keepdims=True) * base[:600])
+    x = np.concatenate([base, 0.931 * base[:600] + np.sqrt(1 - 0.931**2) * side])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int"), block=block).collect()}
+    links = unit(x) @ unit(x).T >= 0.93
+    np.fill_diagonal(links, False)
+    up = list(range(len(x)))
+    for a, b in np.argwhere(np.triu(links)).tolist():
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    for i in range(len(x)):
+        up[i] = up[up[i]]
+    assert links.sum() >= 1200 and got == {i: (int(links[i].sum()), up[i], up[i] == i) for i in range(len(x))}
+
+
 def test_nulls_and_empty(spark):
     frame = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(((r.vec_id or -1), r.n_links, r.component_id, r.kept) for r in near_vectors(frame).collect())

@@ -1,10 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes (operator 4).
+"""Near-duplicate vectors by exact comparison in blocks (operator 4).
 
-Every pass hashes vectors by the signs of its own random projections, sorts them by label and the concatenated bits, and compares
-each vector exactly with its ``window`` neighbours on either side, across the borders of sorted partitions too. Links found
-in any pass are united by distributed union-find. Within the components all pairs are then compared in blocks,
-so that the number of links is exact there, however many neighbours a vector has; only links between vectors that no chain of
-found links connects can be missed (tests measure recall against brute force).
+Vectors of one label and length are compared with one another, all of them: small labels share a task, larger ones are cut into cells
+around pivots (rows of the label) and cells into blocks, of which every two meet in one task. A vector is sent to the blocks of another cell only
+where the triangle inequality of angles allows a link: its angle to that cell's pivot is at most the cell's radius plus the angle of ``least``.
+This leaves out no link, so n_links, components and kept are exact. Where vectors stand too far apart from their pivots to be told apart
+(independent directions in many dimensions) nothing is left out and the work grows with the square of the label.
 
 Vectors equal in every component, with equal labels, are one class that is compared once and weighs its number of ids.
 
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import connected_components, materialize, rehashed, shuffle_parts
+from tracemill.llm.common import connected_components, materialize, rehashed
 
-BITS = 48
+#: Added to angles, beyond their rounding.
+SLACK = 1e-5
 
 
 def _units(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -38,167 +38,176 @@ def _flat(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-class _Union:
-    """Union-find over row numbers: says whether a link joins two groups."""
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x have a cosine of ``least`` or more with which rows of y; single precision rules out most pairs."""
+    maybe = x.astype(np.float32) @ y.astype(np.float32).T >= least - 1e-3
+    if np.count_nonzero(maybe) * 16 > maybe.size:
+        return x @ y.T >= least
+    rows, cols = np.nonzero(maybe)
+    for at in range(0, len(rows), 65536):
+        r, c = rows[at : at + 65536], cols[at : at + 65536]
+        maybe[r, c] = np.einsum("ij,ij->i", x[r], y[c]) >= least
+    return maybe
+
+
+def _stars(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids a, b: each row and column that links reach, beside the first row that reaches it."""
+    rows, cols = link.any(1), link.any(0)
+    a, b = [left[:0]], [left[:0]]
+    for seed in np.flatnonzero(rows).tolist():
+        if not rows[seed]:
+            continue
+        rows[seed], fresh = False, np.array([seed])
+        while len(fresh):
+            to = np.flatnonzero(link[fresh].any(0) & cols)
+            cols[to] = False
+            fresh = np.flatnonzero(link[:, to].any(1) & rows)
+            rows[fresh] = False
+            a.append(np.full(len(to) + len(fresh), left[seed]))
+            b += [right[to], left[fresh]]
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+def _found(parts: list[tuple]) -> pa.Table:
+    """parts: ids with their weights, and ids a and b of edges."""
+    one = lambda i: np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]).astype(np.int64)
+    cid, weight, a, b = map(one, range(4))
+    none = lambda n: pa.nulls(n, pa.int64())
+    ids, others, weights = [pa.array(cid), pa.array(a)], [none(len(cid)), pa.array(b)], [pa.array(weight), none(len(a))]
+    return pa.table({"cid": pa.chunked_array(ids), "other": pa.chunked_array(others), "weight": pa.chunked_array(weights)})
+
+
+def _within(x: np.ndarray, cid: np.ndarray, size: np.ndarray, least: float) -> tuple:
+    link = _linked(x, x, least)
+    np.fill_diagonal(link, False)
+    weight = link @ size
+    np.fill_diagonal(link, weight > 0)  # a row and its column are one vector
+    some = weight > 0
+    return cid[some], weight[some], *_stars(link, cid, cid)
+
+
+def _between(x: np.ndarray, y: np.ndarray, cids: tuple, sizes: tuple, least: float) -> tuple:
+    link = _linked(x, y, least)
+    weights = np.concatenate([link @ sizes[1], sizes[0] @ link])
+    some = weights > 0
+    return np.concatenate(cids)[some], weights[some], *_stars(link, *cids)
+
+
+FOUND = "cid long, other long, weight long"
+
+
+def _small(rows: DataFrame, groups: int, least: float) -> DataFrame:
+    """Links of labels that one task compares; a task gets several."""
 
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, a: int) -> int:
-        up = self.up
-        while (b := up.get(a, a)) != a:
-            up[a] = a = up.get(b, b)
-        return a
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _near(units: np.ndarray, window: int, least: float, fresh: int) -> list[tuple[int, int]]:
-    """Row pairs at most ``window`` apart with a cosine of ``least`` or more, the later row at ``fresh`` or after: a spanning forest of them."""
-    found, union = [], _Union()
-    single = units.astype(np.float32)
-    step = max(window, 1)
-    for at in range(0, len(units), step):
-        cos = single[at : at + step] @ single[at : at + 2 * step].T
-        rows, cols = np.nonzero(cos >= least - 1e-3)
-        some = (cols > rows) & (cols - rows <= window) & (cols + at >= fresh)
-        rows, cols = rows[some] + at, cols[some] + at
-        exact = np.einsum("ij,ij->i", units[rows], units[cols]) >= least
-        found += [(a, b) for a, b in zip(rows[exact].tolist(), cols[exact].tolist()) if union.join(a, b)]
-    return found
-
-
-def _passes(classes: DataFrame, passes: int, window: int, least: float) -> DataFrame:
-    """Edges (a, b) between class ids, from all passes' windows."""
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, dim = table.column("label").to_numpy(), table.column("dim").to_numpy()
+        cid, size = table.column("cid").to_numpy(), table.column("size").to_numpy()
+        order = np.lexsort((dim, label))
+        cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(dim[order]) != 0)) + 1
+        parts = []
+        for at in np.split(order, cuts):
+            if len(at) > 1:
+                x = _units(_flat(table.column("embedding").combine_chunks().take(pa.array(at))), int(dim[at[0]]))
+                parts.append(_within(x, cid[at], size[at], least))
+        return _found(parts)
+
+    return rows.withColumn("g", F.pmod(F.xxhash64("label", "dim"), F.lit(groups))).groupBy("g").applyInArrow(count, FOUND)
+
+
+def _large(rows: DataFrame, block: int, least: float) -> DataFrame:
+    """Links of labels of more than ``block`` vectors (rows has their number n), by cells, blocks and pairs of blocks."""
+    spark, reach = rows.sparkSession, float(np.arccos(min(1.0, max(-1.0, least)))) + SLACK
+    picked = rows.where(F.pmod(F.xxhash64("cid", F.lit(5)), F.col("n")) < 2 * F.ceil(F.col("n") / block)).select("label", "dim", "embedding").toArrow()
+    pivots: dict[tuple[int, int], np.ndarray] = {}
+    picked = picked.sort_by([("label", "ascending"), ("dim", "ascending")]).combine_chunks()
+    marks = list(zip(picked.column("label").to_pylist(), picked.column("dim").to_pylist()))
+    starts = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]] + [len(marks)]
+    for a, b in zip(starts, starts[1:]):
+        pivots[marks[a]] = _units(_flat(picked.column("embedding").combine_chunks().slice(a, b - a)), marks[a][1])
+
+    def centres(label: int, dim: int) -> np.ndarray:
+        # any direction is a right pivot, if a label has none by its hashes
+        return pivots[label, dim] if (label, dim) in pivots else np.eye(1, dim)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                dims = batch.column("dim").to_numpy(zero_copy_only=False)
-                keys = np.zeros((len(dims), passes), np.int64)
-                for dim in np.unique(dims).tolist():
-                    if dim not in planes:
-                        planes = {dim: np.random.default_rng(dim).normal(size=(dim, passes * BITS))}
-                    which = np.flatnonzero(dims == dim)
-                    signs = _flat(batch.column("embedding").take(pa.array(which))).astype(np.float64).reshape(-1, dim) @ planes[dim] >= 0
-                    keys[which] = signs.reshape(-1, passes, BITS) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                times = np.repeat(np.arange(len(dims)), passes)
-                cols = [pa.array(np.tile(np.arange(passes, dtype=np.int32), len(dims))), pa.array(keys.ravel())]
-                yield pa.RecordBatch.from_arrays(cols + [batch.column(c).take(pa.array(times)) for c in ("label", "dim", "cid", "embedding")], names=["pass", "key", "label", "dim", "cid", "embedding"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        group, held, ids = None, None, np.zeros(0, np.int64)
-        head: list[tuple] = []
-        seen = 0
-
-        def strips(side: int, rows: Iterator) -> pa.RecordBatch:
-            rows = list(rows)
-            border = part - 1 if side else part
-            cols = [None] * len(rows), [None] * len(rows), [border] * len(rows), [side] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3].astype("<f8").tobytes() for r in rows]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                marks = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "dim"))))
-                starts = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]] + [len(marks)]
-                for a, b in zip(starts, starts[1:]):
-                    units = _units(_flat(batch.column("embedding").slice(a, b - a)), marks[a][2])
-                    cids = batch.column("cid").slice(a, b - a).to_numpy()
-                    if group != marks[a]:
-                        group, held, ids = marks[a], units[:0], ids[:0]
-                    name = repr(group)
-                    for i in range(min(len(units), window - seen) if seen < window else 0):
-                        head.append((seen + i, name, int(cids[i]), units[i]))
-                    seen += len(units)
-                    fresh = len(held)
-                    both, own = np.concatenate([held, units]), np.concatenate([ids, cids])
-                    pairs = _near(both, window, least, fresh)
-                    if pairs:
-                        left, right = np.array(pairs).T
-                        n = len(pairs)
-                        cols = own[left], own[right], [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
-                    held, ids = both[-window:], own[-window:]
-        if seen:
-            yield strips(1, head)
-            yield strips(0, ((k - len(ids), repr(group), int(ids[k]), held[k]) for k in range(len(ids))))
-
-    def across(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
-        edges = []
-        for name in {r["name"] for r in rows}:
-            own = [r for r in rows if r["name"] == name]
-            before = sum(r["side"] == 0 for r in own)
-            if 0 < before < len(own):
-                pairs = _near(np.stack([np.frombuffer(r["unit"], "<f8") for r in own]), window, least, before)
-                edges += [(own[a]["cid"], own[b]["cid"]) for a, b in pairs]
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    names = ["a", "b", "border", "side", "place", "name", "cid", "unit"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
-    order = ["pass", "label", "dim", "key", "cid"]
-    keyed = classes.mapInArrow(project, "pass int, key long, label long, dim int, cid long, embedding array<double>")
-    sorted_ = keyed.repartitionByRange(shuffle_parts(classes.sparkSession), *order).sortWithinPartitions(*order)
-    found = materialize(sorted_.mapInArrow(compare, "a long, b long, border int, side int, place int, name string, cid long, unit binary"))
-    borders = found.where("border IS NOT NULL").groupBy("border").applyInArrow(across, "a long, b long")
-    return found.where("border IS NULL").select("a", "b").unionByName(borders)
-
-
-def _link_counts(members: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """(cid, weight): for every class of a component, the ids of other classes of it with a cosine of ``least`` or more.
-
-    members: component, cid, dim, size, embedding. Each task gets two blocks of a component, or one of several small components.
-    """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    rows = members.join(rehashed(sizes, "component"), "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    groups = F.lit(max(1, members.count() // (2 * block)))
-    small = rows.where("blocks = 1").select(F.pmod(F.xxhash64("component"), groups).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "component", "block", "cid", "dim", "size", "embedding")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    large = rows.where("blocks > 1").withColumn("other", F.explode(others)).select(
-        F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", "cid", "dim", "size", "embedding"
-    )
+                label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+                cell, angle = np.zeros(len(dim), np.int32), np.zeros(len(dim))
+                for l, d in set(zip(label.tolist(), dim.tolist())):
+                    which = np.flatnonzero((label == l) & (dim == d))
+                    cos = _units(_flat(batch.column("embedding").take(pa.array(which))), d) @ centres(l, d).T
+                    cell[which] = cos.argmax(1)
+                    angle[which] = np.nan_to_num(np.arccos(np.clip(cos.max(1), -1, 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
+
+    rows = rows.select("label", "dim", "cid", "size", "embedding")
+    placed = materialize(rows.mapInArrow(assign, "label long, dim int, cid long, size long, embedding array<double>, cell int, angle double"))
+    cells, first, by_label = [], 0, {}
+    for r in placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():
+        parts = -(-r["n"] // block)
+        by_label.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["radius"], first, parts))
+        cells.append((r["label"], r["dim"], r["cell"], first, parts))
+        first += parts
+    table = spark.createDataFrame(cells, "label long, dim int, cell int, first int, parts int")
+    blocks = placed.join(F.broadcast(table), ["label", "dim", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("cid", F.lit(9)), F.col("parts")).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        one = {c: pa.array([table.column(c)[0].as_py()], t) for c, t in (("block", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()))}
+        x = _units(_flat(table.column("embedding").combine_chunks()), int(table.column("dim")[0].as_py()))
+        return pa.table(one | {"cids": pa.array([table.column("cid").to_numpy().tobytes()]), "sizes": pa.array([table.column("size").to_numpy().tobytes()]), "units": pa.array([x.tobytes()])})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, label, dim, cell = (batch.column(c)[k].as_py() for c in ("block", "label", "dim", "cell"))
+                cid, size = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("cids", "sizes"))
+                x = np.frombuffer(batch.column("units")[k].as_buffer(), np.float64).reshape(-1, dim)
+                angles = np.arccos(np.clip(x @ centres(label, dim).T, -1, 1))
+                for other, radius, at, parts in by_label[label, dim]:
+                    near = np.ones(len(x), bool) if other == cell else angles[:, other] <= radius + reach
+                    if near.any():
+                        sent = [pa.array([v[near].tobytes()], pa.binary()) for v in (cid, size, x)]
+                        for b in range(at, at + parts):
+                            cols = [pa.array([v], pa.int32()) for v in (min(own, b), max(own, b), int(own <= b), dim)]
+                            yield pa.RecordBatch.from_arrays(cols + sent, names=["i", "j", "side", "dim", "cids", "sizes", "units"])
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        if not table.num_rows:
-            return pa.table({"cid": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        component, part = table.column("component").to_numpy(), table.column("block").to_numpy()
-        cid, size, dim = table.column("cid").to_numpy(), table.column("size").to_numpy(), table.column("dim").to_numpy()
-        units = _units(_flat(table.column("embedding").chunk(0)), int(dim[0])) if (dim == dim[0]).all() else None
-        ids, weights = [], []
-        order = np.argsort(component, kind="stable")
-        cuts = np.flatnonzero(np.diff(component[order])) + 1
-        for rows in np.split(order, cuts):
-            x = units[rows] if units is not None else _units(_flat(table.column("embedding").chunk(0).take(pa.array(rows))), int(dim[rows[0]]))
-            if i == j:  # one block, or whole components
-                same = x @ x.T >= least
-                np.fill_diagonal(same, False)
-                ids.append(cid[rows])
-                weights.append(same @ size[rows])
-            else:
-                left, right = part[rows] == i, part[rows] == j
-                same = x[left] @ x[right].T >= least
-                ids += [cid[rows][left], cid[rows][right]]
-                weights += [same @ size[rows][right], same.T @ size[rows][left]]
-        return pa.table({"cid": pa.array(np.concatenate(ids), pa.int64()), "weight": pa.array(np.concatenate(weights).astype(np.int64))})
-
-    counted = small.unionByName(large).groupBy("g", "i", "j").applyInArrow(count, "cid long, weight long")
-    return counted.groupBy("cid").agg(F.sum("weight").alias("weight"))
+        sides = []
+        for r in table.sort_by([("side", "descending")]).to_pylist():
+            sides.append((np.frombuffer(r["units"]).reshape(-1, r["dim"]), np.frombuffer(r["cids"], np.int64), np.frombuffer(r["sizes"], np.int64)))
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            return _found([_within(*sides[0], least)])
+        if len(sides) < 2:  # nothing of the other block comes near
+            return _found([])
+        (x, *left), (y, *right) = sides
+        return _found([_between(x, y, *zip(left, right), least)])
+
+    packed = materialize(blocks.groupBy("block").applyInArrow(pack, "block int, label long, dim int, cell int, cids binary, sizes binary, units binary"))
+    pairs = packed.mapInArrow(meet, "i int, j int, side int, dim int, cids binary, sizes binary, units binary")
+    return pairs.groupBy("i", "j").applyInArrow(count, FOUND)
+
+
+def _links(classes: DataFrame, least: float, block: int) -> DataFrame:
+    """Rows (cid, weight): ids of other classes that class cid links with, in parts to be added; and edges (cid, other) that join what links join."""
+    sizes = materialize(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    few, many = (sizes.agg(F.sum(F.when(c, F.col("n")))).first()[0] or 0 for c in (F.col("n") <= block, F.col("n") > block))
+    rows = classes.join(sizes, ["label", "dim"])
+    found = _small(rows.where(F.col("n") <= block).drop("n"), max(1, 4 * few // block), least)
+    return found.unionByName(_large(rows.where(F.col("n") > block), block, least)) if many else found
 
 
 def near_vectors(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, passes: int = 16, window: int = 40
+    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, block: int = 2048, window: int | None = None
 ) -> DataFrame:
-    """Per row: vec_id, n_links (other vectors of its label with a cosine of ``least`` or more), component_id, kept."""
+    """Per row: vec_id, n_links (other vectors of its label with a cosine of ``least`` or more), component_id, kept.
+
+    A task compares two blocks of about ``block`` vectors; ``window``, of the former sorted passes, is accepted and changes nothing.
+    """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     fit = F.coalesce(
         F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"), F.lit(False)
@@ -212,9 +221,9 @@ def near_vectors(
         rows.where("h1 IS NOT NULL").dropDuplicates(["vec_id", "h1", "h2"]).join(keys, (rows.vec_id == keys.cid) & (rows.h1 == keys.h1) & (rows.h2 == keys.h2))
         .select("cid", "size", "label", F.size("embedding").alias("dim"), "embedding")
     )
-    components = materialize(connected_components(_passes(classes, passes, window, least)))
-    members = materialize(classes.join(components.withColumnRenamed("id", "cid"), "cid"))
-    counts = materialize(_link_counts(members, least))
+    links = materialize(_links(classes, least, block))
+    components = materialize(connected_components(links.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))))
+    counts = materialize(links.where("weight IS NOT NULL").groupBy("cid").agg(F.sum("weight").alias("weight")))
     found = materialize(
         keys.join(rehashed(counts, "cid"), "cid", "left").join(components.select(F.col("id").alias("cid"), "component"), "cid", "left")
         .select("h1", "h2", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
