@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -27,3 +31,27 @@ def test_partitioning_does_not_matter(spark, sf, name, monkeypatch):
     plain = fixtures.table
     monkeypatch.setattr(fixtures, "table", lambda s, d, t: plain(s, d, t).repartition(7))
     assert sorted(map(str, reports.QUERIES[name](spark, sf).collect())) == first
+
+
+def test_document_tokens_by_hand(spark, tmp_path):
+    token = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN0123"
+    rows = [("en", f"see {token} and {token}x"), ("en", "a" * 60), ("en", f"password: {token}"), ("de", "ab" * 30), (None, token), (None, None), ("fr", token[:39]), ("fr", "msg_" + token[:40])]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.rule, r.findings, r.docs) for r in reports.document_tokens(spark, str(tmp_path)).collect()}
+    assert got == {(lang, "high_entropy_token", n, docs) for lang, n, docs in (("en", 2, 3), ("de", 0, 1), (None, 1, 2), ("fr", 0, 2))}
+
+
+def test_document_tokens_brute_force(spark, sf):
+    from tracemill.functions import redaction as r
+
+    def bits(t):
+        return -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+
+    docs, findings = Counter(), Counter()
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r._named(d.text or "")
+        for rule, pattern in zip(r.RULES[1:5], (r.PRIVATE_KEY, r.BEARER, r.API_KEY, r.CONNECTION_URL)):
+            text = re.sub(pattern, f"[REDACTED:{rule.upper()}]", text)
+        docs[d.lang] += 1
+        findings[d.lang] += sum(bits(t) >= 4.0 - 1e-12 and not re.match(r.STABLE_ID, t) for t in re.findall("[A-Za-z0-9+/=_-]{40,}", text))
+    assert {x.lang: (x.findings, x.docs) for x in reports.document_tokens(spark, sf).collect()} == {k: (findings[k], docs[k]) for k in docs}

@@ -349,11 +349,12 @@ def price_leaves(spark, sf):
     return accounting.current_price_leaves(s).select("snapshot_id", F.col("unique").alias("is_unique"))
 
 
-@query("""SELECT lang, 'high_entropy_token' AS rule, CAST(0 AS BIGINT) AS low, count(*) AS docs FROM documents GROUP BY 1""")
+@query()
 def document_tokens(spark, sf):
     d = fx.table(spark, sf, "documents")
     found = redaction_findings(d, keys=("lang",)).where("rule = 'high_entropy_token'")
-    return d.groupBy("lang").agg(F.count("*").alias("docs")).join(found, "lang").select("lang", "rule", F.least("findings", F.lit(0)).cast("long").alias("low"), "docs")
+    docs = d.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("docs"))
+    return found.join(docs, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "rule", "findings", "docs")
 
 
 @query("""SELECT n_name, length(n_name) AS n, CASE WHEN length(n_name) > 5 THEN left(n_name, 4) || '…' ELSE n_name END AS short, lower(n_name) AS name FROM nation""")
