@@ -55,3 +55,18 @@ def test_document_tokens_brute_force(spark, sf):
         docs[d.lang] += 1
         findings[d.lang] += sum(bits(t) >= 4.0 - 1e-12 and not re.match(r.STABLE_ID, t) for t in re.findall("[A-Za-z0-9+/=_-]{40,}", text))
     assert {x.lang: (x.findings, x.docs) for x in reports.document_tokens(spark, sf).collect()} == {k: (findings[k], docs[k]) for k in docs}
+
+
+def test_reports_cover_whole_tables(spark, sf):
+    got = reports.price_totals(spark, sf).collect()
+    usage = reports.fx.usage(spark, sf)
+    assert sum(r.rows for r in got) == usage.count() and {(r.project_id, r.model) for r in got} == {tuple(r) for r in usage.select("project_id", "model").distinct().collect()}
+    assert {r.complete for r in got} == {True, False}
+
+    customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    orders = [(r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()]
+    want = Counter((0, k) for k, c in orders if c not in customers) + Counter((1, k) for k, c in orders if c not in customers or k % 17 == 0)
+    assert want and Counter((r.version, r.o_orderkey) for r in reports.reference_check(spark, sf).collect()) == want
+
+    view = reports.project_modules(spark, sf).collect()
+    assert {r.kind for r in view} == {"witnessed_state", "recovery_link", "phase_boundary", "module_rank"}

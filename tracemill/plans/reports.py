@@ -241,10 +241,10 @@ def price_asof(spark, sf):
     return _priced(spark, sf).select("session_id", "ordinal", "model", "input_rate", "output_rate", "review", F.round("cost", 6).alias("cost"))
 
 
-@query("""SELECT project_id, round(coalesce(sum(cost), 0), 4) AS known_subtotal, bool_and(cost IS NOT NULL) AS complete, count(*) AS rows, CASE WHEN bool_and(cost IS NOT NULL) THEN round(sum(cost), 4) END AS total
-FROM priced WHERE model <> 3 OR project_id > 3 GROUP BY 1""", fx.USAGE, fx.PRICES_SQL, INTERVALS, PRICED)
+@query("""SELECT project_id, model, round(coalesce(sum(cost), 0), 4) AS known_subtotal, bool_and(cost IS NOT NULL) AS complete, count(*) AS rows, CASE WHEN bool_and(cost IS NOT NULL) THEN round(sum(cost), 4) END AS total
+FROM priced GROUP BY 1, 2""", fx.USAGE, fx.PRICES_SQL, INTERVALS, PRICED)
 def price_totals(spark, sf):
-    t = accounting.price_totals(_priced(spark, sf).where("model <> 3 OR project_id > 3"), ["project_id"])
+    t = accounting.price_totals(_priced(spark, sf), ["project_id", "model"])
     return t.withColumn("known_subtotal", F.round("known_subtotal", 4)).withColumn("total", F.round("total", 4))
 
 
@@ -322,10 +322,14 @@ def quality_rules(spark, sf):
     return quality.quality_rules(e, ["event_id"], {"value": (F.col("value") >= 1) & (F.col("value") <= 90), "type": F.col("event_type").isin("view", "click")})
 
 
-@query("""SELECT o_orderkey, 'missing' AS violation FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_custkey % 9 <> 0)""")
+@query("""SELECT version, o_orderkey, 'missing' AS violation FROM (SELECT 0 AS version, o_orderkey, o_custkey FROM orders
+ UNION ALL SELECT 1, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)""")
 def reference_check(spark, sf):
-    c = fx.table(spark, sf, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("o_custkey"))
-    return quality.check_references(fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "violation")
+    """All orders as they are, and a second version of them of which every 17th key refers to no customer."""
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    o = fx.table(spark, sf, "orders").select(F.lit(0).alias("version"), "o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"))
+    second = o.select(F.lit(1).alias("version"), "o_orderkey", F.when(F.col("o_orderkey") % 17 == 0, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    return quality.check_references(o.unionByName(second), c, ["o_custkey"]).select("version", "o_orderkey", "violation")
 
 
 TREE = """tree AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS node_id, CAST(NULL AS VARCHAR) AS parent_id FROM region UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation
@@ -390,10 +394,21 @@ def evidence_packets(spark, sf):
     return windows.packet(fx.messages(spark, sf), ["session_id"], [F.asc("ordinal")], "text", 4, 3000).select("session_id", "ordinal")
 
 
-@query("""SELECT project_id, kind, count(*) AS records FROM (SELECT project_id, 'recovery_link' AS kind FROM obs WHERE false UNION ALL SELECT project_id, 'module_rank' FROM (SELECT project_id, path FROM obs WHERE kind = 'file' GROUP BY 1, 2) m) r GROUP BY 1, 2""", fx.OBS)
+@query("""SELECT project_id, kind, count(*) AS records FROM (
+ SELECT DISTINCT project_id, 'witnessed_state' AS kind, 'verification:' || CAST(component AS VARCHAR) AS subject FROM obs WHERE kind = 'verification' AND outcome IS NOT NULL
+ UNION ALL SELECT DISTINCT project_id, 'witnessed_state', 'version' FROM obs WHERE kind = 'version' AND version IS NOT NULL
+ UNION ALL SELECT f.project_id, 'recovery_link', NULL FROM obs f WHERE f.outcome = 'failure'
+  AND EXISTS (SELECT 1 FROM obs s WHERE s.session_id = f.session_id AND s.project_id = f.project_id AND s.component = f.component AND s.kind = f.kind AND s.outcome = 'success' AND s.sequence > f.sequence)
+ UNION ALL SELECT project_id, 'recovery_link', NULL FROM (SELECT project_id, session_id, outcome, first_value(CASE WHEN outcome = 'success' THEN session_id END IGNORE NULLS)
+  OVER (PARTITION BY project_id, kind, component ORDER BY ts, session_id, sequence ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS recovered FROM obs WHERE outcome IS NOT NULL) l
+  WHERE outcome = 'failure' AND recovered <> session_id
+ UNION ALL SELECT project_id, 'phase_boundary', NULL FROM (SELECT project_id, version, lag(version) OVER (PARTITION BY project_id ORDER BY ts, session_id, sequence) AS before FROM obs WHERE kind = 'version' AND version IS NOT NULL) v
+  WHERE before IS NULL OR before <> version
+ UNION ALL SELECT project_id, 'phase_boundary', NULL FROM (SELECT project_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY project_id ORDER BY ts, session_id, sequence) AS gap_ms FROM obs) g WHERE gap_ms > 2592000000
+ UNION ALL SELECT project_id, 'module_rank', NULL FROM (SELECT project_id, path FROM obs WHERE kind = 'file' GROUP BY 1, 2) m) r GROUP BY 1, 2""", fx.OBS)
 def project_modules(spark, sf):
     v = projects.project_view(fx.obs(spark, sf), F.lit(REFERENCE).cast("timestamp"))
-    return v.where("kind = 'module_rank'").groupBy("project_id", "kind").agg(F.count("*").alias("records"))
+    return v.groupBy("project_id", "kind").agg(F.count("*").alias("records"))
 
 
 @query("""SELECT CASE WHEN age <= 604800000000 THEN 3 WHEN age <= 2592000000000 THEN 2 WHEN age <= 7776000000000 THEN 1 ELSE 0 END AS bucket, count(*) AS events FROM (SELECT 1706659200000000 - epoch_us(ts) AS age FROM events) e GROUP BY 1""")
