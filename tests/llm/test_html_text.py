@@ -13,6 +13,25 @@ def test_article():
     assert path == "/html/body.has-sidebar/main/article.post-#" and extract(PAGE, path) == extract(PAGE, None)
 
 
+def test_whole_article():
+    page = "<html><body><nav>Menu</nav>{}</body></html>"
+    p = lambda w, n: "<p>" + f"{w} " * n + "</p>"
+    said = lambda *parts: " ".join(" ".join([w] * n) for w, n in parts)
+    links = "<ul>" + "<li><a href=x>linked words</a></li>" * 5 + "</ul>"
+    for body, want in [
+        ("<article><h1>Head</h1><div>" + p("long", 90) + "</div></article>", said(("Head", 1), ("long", 90))),
+        ("<main><section>" + p("long", 90) + "</section><section>" + p("short", 5) + "</section></main>", said(("long", 90), ("short", 5))),
+        ("<article><h1>Head</h1><article>" + p("inner", 90) + "</article>" + p("tail", 2) + "</article>", said(("Head", 1), ("inner", 90), ("tail", 2))),
+        ("<main><h1>Head</h1><article>" + p("long", 90) + "</article></main>", said(("Head", 1), ("long", 90))),
+        ("<div><div class='a'>" + p("short", 5) + "</div><div class='b'>" + p("long", 90) + "</div></div>", said(("short", 5), ("long", 90))),
+        ("<div class='k'>" + p("first", 30) + "</div><div class='k'>" + p("second", 90) + "</div><div class='k'>" + links + "</div>", said(("first", 30), ("second", 90))),
+        ("<div><div class='a'>" + links + "</div><div class='b'>" + p("long", 90) + "</div></div>", said(("long", 90))),
+        ("<main><div>" + links + "</div><article>" + p("long", 90) + "</article></main>", said(("long", 90))),
+    ]:
+        own = max(parse(page.format(body))[1], key=lambda n: -1 if n.outside else n.score * n.bonus).path
+        assert extract(page.format(body), None) == extract(page.format(body), own) == want
+
+
 def test_broken():
     for page in ["", None, "<", "<p", "a<b", "</div></p>x", "<!-- open", "<script>never closed", '<p class="x>text', "<div>" * 3000 + "deep", "&#x110000; &bogus;"]:
         extract(page, "/html/body")

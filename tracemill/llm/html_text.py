@@ -2,7 +2,9 @@
 
 Each page's containers are scored by the text of their blocks less that of links; the page votes for the path of its
 best container, generalised to tags and classes without numbers. Votes are summed by host and path in Spark, and every page is
-extracted again from the container at its host's winning path. A page that has no text there uses its own best container.
+extracted again from the containers at its host's winning path, in page order, less those that are mostly links. Each is widened to the
+article or main around it, and further to outer ones while they add more text than links; without any, to the parent below
+body, if it does so. A page that has no text there uses the path of its own best container.
 
 Edge cases: null and empty html give the empty text; a null or hostless url votes under the empty host; broken markup
 (unclosed or stray tags, bare ``<``) is read as browsers do it, roughly; ties of votes go to the path with more text, then
@@ -59,11 +61,12 @@ LISTS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",)}
 class Node:
     """An open or closed element: its generalised path, and blocks first..last of the page (last exclusive)."""
 
-    __slots__ = ("tag", "path", "outside", "first", "last", "score", "bonus", "link", "parent")
+    __slots__ = ("tag", "path", "outside", "first", "last", "score", "bonus", "link", "parent", "article")
 
     def __init__(self, tag, path, outside, first, bonus, link, parent):
         self.tag, self.path, self.outside, self.first, self.bonus, self.link, self.parent = tag, path, outside, first, bonus, link, parent
         self.last, self.score = -1, 0.0
+        self.article = parent and (self if tag in ("article", "main") else parent.article)
 
 
 def _open(tag: str, attrs: str, parent: Node | None, first: int) -> Node:
@@ -91,8 +94,14 @@ def _open(tag: str, attrs: str, parent: Node | None, first: int) -> Node:
 
 def parse(page: str) -> tuple[list[str], list[Node]]:
     """The page's blocks outside of what never belongs to the article, in order, and its elements."""
+    blocks, _, nodes = _parse(page)
+    return blocks, nodes
+
+
+def _parse(page: str) -> tuple[list[str], list[int], list[Node]]:
+    """``parse`` with each block's characters in links."""
     root = Node("", "", False, 0, 1.0, False, None)
-    stack, nodes, blocks = [root], [root], []
+    stack, nodes, blocks, linked = [root], [root], [], []
     pieces: list[str] = []
     links = 0
 
@@ -103,6 +112,7 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             pieces.clear()
             if text:
                 blocks.append(text)
+                linked.append(links)
                 gain, node = max(0.0, len(text) - 2.0 * links), stack[-1]
                 while node.parent is not None and node.tag not in BLOCKS:
                     node = node.parent
@@ -187,7 +197,7 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
         stack.append(node)
         nodes.append(node)
     close(0)
-    return blocks, nodes
+    return blocks, linked, nodes
 
 
 def best(nodes: list[Node]) -> Node:
@@ -199,14 +209,36 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _spans(node: Node, blocks: list[str], linked: list[int], top: bool) -> range:
+    """Blocks of ``node`` widened; none if it is mostly links and not the ``top`` of its path."""
+
+    def links(of: list[int] | range) -> bool:
+        return 2 * sum(linked[i] for i in of) > sum(len(blocks[i]) for i in of)
+
+    def wide(up: Node | None, node: Node) -> bool:
+        return up is not None and not links([*range(up.first, node.first), *range(node.last, up.last)])
+
+    if not top and links(range(node.first, node.last)):
+        return range(0)
+    if node.article is not None:
+        node = node.article
+        while wide(node.parent.article, node):
+            node = node.parent.article
+    elif node.parent is not None and node.parent.tag not in ("", "html", "body") and wide(node.parent, node):
+        node = node.parent
+    return range(node.first, node.last)
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """The text of the best container at ``path``, or of the page's own best one."""
+    """The text of the containers at ``path``, or at that of the page's own best one."""
     if not page:
         return ""
-    blocks, nodes = parse(page)
-    for node in ([best(at)] if path is not None and (at := [n for n in nodes if n.path == path and not n.outside]) else []) + [best(nodes)]:
-        if blocks[node.first : node.last]:
-            return " ".join(blocks[node.first : node.last])
+    blocks, linked, nodes = _parse(page)
+    for where in ([path] if path is not None else []) + [best(nodes).path]:
+        if at := [n for n in nodes if n.path == where and not n.outside]:
+            top = best(at)
+            if take := {i for n in at for i in _spans(n, blocks, linked, n is top)}:
+                return " ".join(blocks[i] for i in sorted(take))
     return " ".join(blocks)
 
 
