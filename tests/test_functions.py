@@ -96,3 +96,9 @@ def test_ambient(spark):
     note = '<subagent_notification>{"agent_path": "p", "status": "done"}</subagent_notification>hi'
     assert strip(note) == "hi" and strip(note, 1) == note and strip("<b>keep</b>") == "<b>keep</b>"
     assert strip("# Context from my IDE setup:\nfoo\n## My request:\ngo") == "go"
+
+
+def test_any_number_of_envelopes(spark):
+    note = '<subagent_notification> {"agent_path": "a", "status": "done"} </subagent_notification>\n'
+    for n in (1, 9, 3000):
+        assert one(spark, c.strip_ambient("x", 4), note * n + "do it\n" + note + "!") == "do it\n" + note + "!"

@@ -241,3 +241,16 @@ def test_milestones_and_cards(spark):
     loops = spark.createDataFrame([("p", "l", [], False)], "project_id string, id string, tags array<string>, resolved boolean")
     assert tuple(search.resume_card(reports, use, dec, loops).first()) == ("p", "b", 1, 1, 1, 10)
     assert {(r.model, r.token_share, r.cost_share, r.group_total, r.known_subtotal) for r in search.usage_report(use).collect()} == {("m", 50.0, None, None, 1.0), ("n", 50.0, None, None, 1.0)}
+
+
+def test_long_chains(spark):
+    chain = [(i, i - 1 if i else None, 1, "a") for i in range(200)] + [(900, 901, 1, "a"), (901, 900, 2, "a"), (902, 901, 3, "a"), (903, 999, 1, "a"), (150, 10, 2, "a")]
+    nodes = spark.createDataFrame(chain, "node_id long, parent_id long, sibling_order int, p string")
+    got = {(r.node, r.violation) for r in problems.validate_tree(nodes, ["p"]).collect()}
+    assert got == {("900", "unreachable"), ("901", "unreachable"), ("902", "unreachable"), ("903", "unreachable"), ("903", "missing_parent"), ("150", "duplicate_node")}
+    prices = spark.createDataFrame([(i, "x", i - 1 if i else None) for i in range(200)] + [(900, "x", 901), (901, "x", 900), (903, "x", 999)], "snapshot_id long, identity string, supersedes long")
+    assert {(r.snapshot_id, r.violation) for r in problems.validate_price_chain(prices).collect()} == {(900, "cycle"), (901, "cycle"), (903, "missing")}
+    deep = nodes.where("node_id < 67 AND sibling_order = 1")
+    with pytest.raises(ValueError):
+        problems.tree_paths(deep)
+    assert problems.tree_paths(deep.where("node_id < 65")).count() == 65

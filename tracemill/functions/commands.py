@@ -97,11 +97,11 @@ def patch_targets(patch: str | Column, cwd: str | Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(full)))
 
 
-def strip_ambient(text: str | Column, rule_version: int = 4, rounds: int = 8) -> Column:
+def strip_ambient(text: str | Column, rule_version: int = 4) -> Column:
     """The user's own words without leading machine envelopes.
 
     Versions: 1 knows instruction files, browser and environment envelopes; 2 also notifications of other agents; 3 and 4
-    also the notice of an interruption. Up to ``rounds`` envelopes are removed.
+    also the notice of an interruption. All leading envelopes are removed.
     """
     known = [
         r"# AGENTS\.md instructions\n\s*<INSTRUCTIONS>.*?</INSTRUCTIONS>",
@@ -114,10 +114,9 @@ def strip_ambient(text: str | Column, rule_version: int = 4, rounds: int = 8) ->
         known.append(rf"<subagent_notification>\s*\{{\s*(?:{agent}\s*,\s*{status}|{status}\s*,\s*{agent})\s*\}}\s*</subagent_notification>")
     if rule_version >= 3:
         known.append(r"<turn_aborted>\s*\Q" + INTERRUPTED + r"\E\s*</turn_aborted>")
-    lead = r"(?s)^\s*(?:" + "|".join(known) + r")\s*"
+    # each match starts where the one before ended
+    lead = r"(?s)\G\s*(?:" + "|".join(known) + r")\s*"
     whole = F.trim(F.regexp_replace(col(text), r"^\s+|\s+$", ""))
-    c = whole
-    for _ in range(rounds):
-        c = F.regexp_replace(c, lead, "")
+    c = F.regexp_replace(whole, lead, "")
     c = F.when(c != whole, F.regexp_replace(c, r"^## My request:\s*", "")).otherwise(c)
     return F.when(F.startswith(c, F.lit("# Context from my IDE setup:")) & F.contains(c, F.lit("## My request:")), F.regexp_replace(c, r"(?s)^.*?## My request:\s*", "")).otherwise(c)

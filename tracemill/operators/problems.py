@@ -71,12 +71,12 @@ def related_problems(milestones: DataFrame, nodes: DataFrame, refs: Sequence[str
 
 
 def tree_paths(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id", parent: str = "parent_id", order: str | None = None, max_depth: int = 64) -> DataFrame:
-    """Every node reached from a root: depth, path of ids, and a key that sorts siblings in their order (G1)."""
+    """Every node reached from a root: depth, path of ids, and a key that sorts siblings in their order (G1). Raises if nodes stand deeper than ``max_depth``."""
     key = F.format_string("%012d", F.col(order).cast("long")) if order else F.col(node).cast("string")
     base = nodes.select(*by, F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"), key.alias("k"))
     level = base.where("parent IS NULL").select(*by, "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array("k").alias("sort_key"))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         up = level.select(*by, F.col("node").alias("parent"), F.col("path").alias("__p"), F.col("sort_key").alias("__s"))
         level = base.join(up, [*by, "parent"]).where(~F.array_contains("__p", F.col("node"))).select(
             *by, "node", F.lit(depth).alias("depth"), F.concat("__p", F.array("node")).alias("path"), F.concat("__s", F.array("k")).alias("sort_key")
@@ -84,10 +84,26 @@ def tree_paths(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id",
         level = materialize(level)
         if level.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"tree_paths: nodes below depth {max_depth}")
         out = out.unionByName(level)
     return out
 
 
+def _reached(nodes: DataFrame, by: Sequence[str], node: str, parent: str) -> DataFrame:
+    """by, node: the nodes that a root reaches, at any depth. Distances double each round, so a chain of n nodes takes log2(n) joins."""
+    state, waiting = materialize(nodes.select(*by, F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("up")).distinct()), -1
+    while True:
+        done = state.where("up IS NULL").select(*by, "node")
+        left = state.join(done, [*by, "node"], "left_anti")
+        n = left.select(*by, "node").distinct().count()
+        if n in (0, waiting):  # none, or only those behind a cycle or a missing node
+            return done
+        waiting = n
+        hop = done.withColumn("__up", F.lit(None).cast("string")).unionByName(left.withColumnRenamed("up", "__up")).withColumnRenamed("node", "up")
+        state = materialize(done.withColumn("up", F.lit(None).cast("string")).unionByName(left.join(hop, [*by, "up"]).select(*by, "node", F.col("__up").alias("up")).distinct()))
+
+
 def subtree(paths: DataFrame, node: str) -> DataFrame:
     """The node and what stands below it, in sibling order (G1)."""
     return paths.where(F.array_contains("path", node)).orderBy("sort_key")
@@ -100,7 +116,7 @@ def validate_tree(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id
     missing = nodes.where(F.col(parent).isNotNull()).join(ids, [*by, parent], "left_anti")
     siblings = nodes.withColumn("__n", F.count("*").over(Window.partitionBy(*by, F.coalesce(F.col(parent).cast("string"), F.lit("")), order))).where("__n > 1")
     twice = nodes.groupBy(*by, node).count().where("count > 1")
-    reached = tree_paths(nodes, by, node, parent).select(*by, "node").distinct()
+    reached = _reached(nodes, by, node, parent)
     names = nodes.select(*by, F.col(node).cast("string").alias("node")).distinct()
     lost = names.join(reached, [*by, "node"], "left_anti").select(*by, "node", F.lit("unreachable").alias("violation"))
     return (
@@ -174,7 +190,7 @@ def validate_price_chain(snapshots: DataFrame) -> DataFrame:
     missing = s.where("supersedes IS NOT NULL").join(old, "supersedes", "left_anti")
     fork = s.where("supersedes IS NOT NULL").withColumn("__n", F.count("*").over(Window.partitionBy("supersedes"))).where("__n > 1")
     other = s.join(old, "supersedes").where(~F.col("identity").eqNullSafe(F.col("__old")))
-    reached = tree_paths(s, (), "snapshot_id", "supersedes").select(F.col("node").alias("snapshot_id")).distinct()
+    reached = _reached(s, (), "snapshot_id", "supersedes").withColumnRenamed("node", "snapshot_id")
     lost = s.join(reached, "snapshot_id", "left_anti").join(missing.select("snapshot_id"), "snapshot_id", "left_anti")
     return out(missing, "missing").unionByName(out(fork, "fork")).unionByName(out(other, "identity_changed")).unionByName(out(lost, "cycle"))
 
