@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -28,6 +29,23 @@ def test_round_trip_and_random_access():
     assert len(grammar.compress(np.full(1000, 5), 100, np.zeros(1000, bool), 2, 0.0)[0]) < 20
 
 
+def test_production_thresholds():
+    given = {k: v.default for k, v in inspect.signature(grammar.write_shards).parameters.items()}
+    min_count, min_gain = given["min_count"], given["min_gain"]
+    assert (min_count, min_gain) == (16, 0.02)
+    rng = random.Random(3)
+    phrase = [rng.randrange(50) for _ in range(40)]
+    docs = [[rng.randrange(50) for _ in range(rng.randrange(30))] + phrase * 3 + [0] for _ in range(500)]
+    ids = np.array([x for d in docs for x in d], np.uint32)
+    shard = grammar.Shard(grammar.pack(list(range(500)), np.array([len(d) for d in docs]), ids, 100, min_count, min_gain))
+    assert shard.ids().tolist() == ids.tolist() and all(shard.document(k).tolist() == docs[k] for k in range(0, 500, 50))
+    assert len(shard.symbols) < len(ids) / 2
+    # a pair is a rule from 16 occurrences on
+    for n in (15, 16):
+        pairs = np.array([x for k in range(n) for x in (1, 2, 10 + k)], np.uint32)
+        assert len(grammar.compress(pairs, 100, np.zeros(len(pairs), bool), min_count, min_gain)[1]) == (n == 16)
+
+
 def test_documents(spark):
     library = Tokenizer.from_file(PATH)
     rng = random.Random(2)
