@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tracemill.llm import bpe
+from tracemill.llm import bpe, grammar
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 CASES = ["", None, "a<|endoftext|>b <|endoftext|>", "  two  spaces \n\n x  y", "don't we'll", "a\x1c b!\x1d c", "naïve 漢字 🙂🙂", "x" * 3000, "   \t a ", "\r\n \r\n1 234  5", "𝔘nicode​ "]
@@ -32,10 +33,34 @@ def test_same_as_library(spark):
 def test_forced_cuts_and_small_table():
     model = bpe.ByteBpe(PATH)
     assert model.forced[ord("t"), ord(" ")] and not model.forced[ord("t"), ord("h")]
-    table = bpe.ChunkTable(model.encode_many, model.special, limit=5)
     library = Tokenizer.from_file(PATH)
-    for t in texts():
-        assert table.encode([t])[0].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts()]
+    for make, special in ((model.encode_chunks, model.special), (grammar.library_table(PATH).make, model.special)):
+        for limit in (5, 1000):
+            table = bpe.ChunkTable(make, special, limit=limit)
+            assert [table.encode([t])[0].tolist() for t in texts()] == want
+            ids, counts = table.encode(texts())
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_spaces_around_cuts():
+    """Every mix of white space, letters and marks, as whole texts and with neighbours: the cuts never change the ids."""
+    library = Tokenizer.from_file(PATH)
+    blanks = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\x00", "é", "…", "a", "'s", "<|endoftext|>"]
+    cases = [f"x{a}{b}{c}y" for a in blanks for b in blanks for c in (" ", "\n", "z", "\u3000")]
+    model = bpe.ByteBpe(PATH)
+    table = bpe.ChunkTable(model.encode_chunks, model.special)
+    ids, counts = table.encode(cases)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in cases]
+
+
+def test_very_long_texts():
+    """A text of one long fragment and one of a megabyte of words: encoded whole."""
+    library = Tokenizer.from_file(PATH)
+    model = bpe.ByteBpe(PATH)
+    table = bpe.ChunkTable(model.encode_chunks, model.special)
+    for t in ("ab" * 40_000, "the cat sat. " * 80_000, "é" * 30_000 + " x"):
+        assert table.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_empty_table(spark):

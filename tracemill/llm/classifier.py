@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import mix, slices
+from tracemill.llm.common import mix, slices, with_text
 
 BITS, SIZES = 18, (3, 4, 5)
 
@@ -179,14 +179,14 @@ class Scorer:
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) with score double and predicted int (1 where score >= threshold)."""
     keep = tuple(docs.columns) if keep is None else keep
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows, column = with_text(docs, keep, text)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     sent = docs.sparkSession.sparkContext.broadcast((model.parts, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*sent.value))
-        for batch in slices(batches, "__text"):
-            got = scorer(batch.column("__text").to_pylist())
+        for batch in slices(batches, column):
+            got = scorer(batch.column(column).to_pylist())
             cols = [batch.column(c) for c in keep] + [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 

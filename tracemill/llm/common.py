@@ -29,9 +29,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir."""
+    """A new folder's path under spark.checkpoint.dir. Without that setting a cluster is refused: its machines share no temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
@@ -41,7 +43,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that no later result reads."""
+    for df in written:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
+    """The ``keep`` columns and the text, which is not sent twice if it is kept, and the name that it has there."""
+    return (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -68,7 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 class WordHashes(dict):
     """word -> 64-bit hash, computed once a word; emptied when it reaches ``limit`` entries (a cache, not a cap)."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -174,7 +192,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
+    seen = large = None
     for _ in range(rounds):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if not state["n"]:
@@ -189,9 +207,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialize(
             both.join(rehashed(least), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
+        discard(now)
         small = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         now = materialize(
             large.join(rehashed(small), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
+        discard(large)
     raise RuntimeError("connected_components: rounds are too few")

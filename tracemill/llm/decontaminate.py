@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, slices, winnow
+from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, slices, winnow, with_text
 
 #: Byte translation: A-Z to a-z, all ASCII that is neither letter nor digit to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -122,10 +122,11 @@ def _result(words: list[bytes], hit: np.ndarray, names: list[str], per: int) ->
 _tables: dict[str, ItemWindows] = {}
 
 
-def _judge(docs: DataFrame, items: list[tuple[object, str | None]], n: int, k: int, per: int, keep: tuple[str, ...]) -> DataFrame:
+def _judge(docs: DataFrame, text: str, items: list[tuple[object, str | None]], n: int, k: int, per: int, keep: tuple[str, ...]) -> DataFrame:
     """Every document against items small enough to be in every task."""
     tag = hashlib.sha256(repr((items, n, k)).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    rows, column = with_text(docs, keep, text)
     schema = docs.select(*keep).schema
     for part in SCHEMA.split(", "):
         schema = schema.add(*part.split(" "))
@@ -135,17 +136,17 @@ def _judge(docs: DataFrame, items: list[tuple[object, str | None]], n: int, k: i
             _tables.clear()
             _tables[tag] = ItemWindows(sent.value, n, k)
         table = _tables[tag]
-        for batch in slices(batches, "__text"):
-            rows = []
-            for text in batch.column("__text").to_pylist():
-                words = words_of(text)
+        for batch in slices(batches, column):
+            judged = []
+            for whole in batch.column(column).to_pylist():
+                words = words_of(whole)
                 hit, owners = table.hits(words)
-                rows.append(_result(words, hit, list({table.names[i] for i in owners}), per))
-            cols = zip(*rows)
+                judged.append(_result(words, hit, list({table.names[i] for i in owners}), per))
+            cols = zip(*judged)
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, kinds)], names=schema.names)
 
-    return docs.select(*keep, F.col("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _fingerprints(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
@@ -185,7 +186,7 @@ def decontaminate(
     size = F.size(F.split("__text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     total = bench.agg(F.sum(size)).first()[0] or 0
     if total <= broadcast_windows:
-        return _judge(rows, [tuple(r) for r in bench.collect()], n, k, per, keep)
+        return _judge(docs, text, [tuple(r) for r in bench.collect()], n, k, per, keep)
     return _judge_by_join(rows, bench, doc_id, n, k, per, keep)
 
 

@@ -27,41 +27,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.bpe import ChunkTable
+from tracemill.llm.bpe import CACHE_LIMIT, WORD, WORD_CUTS, ChunkTable, byte_letters
 from tracemill.llm.common import shared_dir, shuffle_parts, slices
 
 MAGIC, HEAD, EVERY = b"RPG1", struct.Struct("<6Q"), 64
 _tables: dict[str, ChunkTable] = {}
 
 
-def library_table(path: str) -> ChunkTable:
-    """A chunk table whose new chunks the tokenizers library encodes, joined by a special token that splits them again."""
+def library_table(path: str, limit: int = CACHE_LIMIT) -> ChunkTable:
+    """A table of ids, as little-endian uint32, by chunk; new chunks are encoded by the tokenizers library.
+
+    Chunks of a line end, letters and marks have certain pre-tokens: the library's model gets these in its byte letters, many in one text,
+    each chunk followed by the letter of byte 255, which no text holds. All other chunks go to the library as they are.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    library = Tokenizer.from_file(path)
+    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    words = Tokenizer(library.model)
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    library.model._resize_cache(0)  # no word is asked for twice, as the table remembers them
+    letters = {b: x for b, x in enumerate(byte_letters()) if b > 1}
+    end = letters[255]
+    number = library.token_to_id(end)
+
+    def encode_words(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(chunks), 1024):
+            # bytes 0 and 1, which such chunks don't hold, stand after chunks and between pre-tokens
+            some = WORD_CUTS.sub("\1", "\0".join([*chunks[at : at + 1024], ""])).encode().decode("latin-1").translate(letters)
+            text = some.replace("\0", f" {end} ").replace("\1", " ")
+            ids = np.array(words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = ids == number
+            found.append(ids[~last])
+            counts.append(np.diff(np.flatnonzero(last), prepend=-1) - 1)
+        return np.concatenate(found), np.concatenate(counts)
+
+    def make(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        simple = np.array([number is not None and WORD.fullmatch(c) is not None and c not in special for c in chunks])
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        ids, counts = encode_words([chunks[k] for k in order[: simple.sum()]])
+        other = [e.ids for e in library.encode_batch_fast([chunks[k] for k in order[simple.sum() :]], add_special_tokens=False)]
+        ids = np.concatenate([ids, *(np.array(x, np.uint32) for x in other)])
+        counts = np.concatenate([counts, np.fromiter(map(len, other), np.int64, len(other))])
+        starts, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[order], size[order] = np.cumsum(counts) - counts, counts
+        return ids[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(len(ids))], size
+
+    return ChunkTable(make, special, limit)
+
+
+def load(path: str) -> ChunkTable:
+    """The library's table for the tokenizer file at ``path``, once a process."""
     if path not in _tables:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-
-        def encode_many(chunks: list[str]) -> list[list[int]]:
-            if not special:
-                return [e.ids for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
-            mark, number = next(iter(special.items()))
-            out: list[list[int]] = []
-            for at in range(0, len(chunks), 512):
-                ids = library.encode_batch_fast([mark.join(chunks[at : at + 512])], add_special_tokens=False)[0].ids
-                start = 0
-                for _ in chunks[at : at + 511]:
-                    try:
-                        stop = ids.index(number, start)
-                    except ValueError:
-                        stop = len(ids)
-                    out.append(ids[start:stop])
-                    start = stop + 1
-                if len(chunks) - at >= 512:
-                    out.append(ids[start:])
-            return out
-
-        _tables[path] = ChunkTable(encode_many, special)
+        _tables[path] = library_table(path)
     return _tables[path]
 
 
@@ -201,7 +220,7 @@ def write_shards(
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = library_table(path), TaskContext.get().partitionId()
+        table, part = load(path), TaskContext.get().partitionId()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = before = shard = 0
 
@@ -213,11 +232,13 @@ def write_shards(
 
         for batch in slices(batches, "__text"):
             ids, counts = table.encode(batch.column("__text").to_pylist())
-            closed = np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32)
+            closed, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+            if closed.max() >= first:
+                raise ValueError(f"id {closed.max()} is not below the first nonterminal, {first}")
             if size and size + len(closed) > shard_ids:
                 yield flush()
                 before, shard, size, held = before + size, shard + 1, 0, []
-            held.append((batch.column("doc_id").to_pylist(), counts + 1, closed))
+            held.append((batch.column("doc_id").to_pylist(), counts, closed))
             size += len(closed)
         if size:
             yield flush()

@@ -1,47 +1,80 @@
 """From candidate groups to components, without all pairs of a group.
 
-Candidates are rows (key, id): ids that share a key may be alike. In each round every component meets, in the key it
-shares most often, one head that is drawn anew by hash (a star); verified pairs are united. So a group of thousands alike
-costs a comparison a member and round. Then what still shares a key in different components is verified whole: keys of at
-most ``small`` ids by their pairs, and ids that larger keys connect (a family) in blocks of bounded size, a task getting
-two blocks and giving only links that join components. Ids of one component need no comparison, as they are connected
+Candidates are rows (key, id): ids that share a key may be alike. Keys of at most ``small`` ids are compared by their pairs. Of
+larger keys, first every component meets, in the key it shares most often, one head that is drawn by hash (a star), and
+verified pairs are united, as long as a round joins a tenth of what is open: a group of thousands alike costs a comparison
+a member and round. What larger keys then still connect (a family) is compared in blocks of bounded size, a task getting two blocks: members
+outside the family's largest component against all. Ids of one component need no comparison, as they are connected
 anyway. No link between components is lost.
+
+Pairs are verified in two steps: by sketches of fixed size, which rule out most false candidates and never a link, then by whole
+payloads. A sketch is a bitmap of hashed members: a bit set in one alone proves a member that the other lacks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import connected_components, materialize, rehashed
+from tracemill.llm.common import connected_components, discard, materialize, mix, rehashed
+
+
+def sketch(members: np.ndarray, bits: int) -> bytes:
+    """Bitmap of a set of uint64; ``bits`` is a power of two."""
+    at = np.zeros(bits, bool)
+    at[(mix(members) >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(at).tobytes()
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes n and m with bitmaps x and y (last axis: uint64 words) can reach the similarity; true for all that do."""
+    common = np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    return den * common >= num * (n + m - common)
 
 
-def verify(pairs: DataFrame, payload: DataFrame, alike: Callable[[list, list], list[bool]]) -> DataFrame:
-    """The pairs (a, b) whose payloads are alike: each side's payload is joined to the pair, none is broadcast by force."""
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verify(pairs: DataFrame, payload: DataFrame, alike: Callable[[list, list], list[bool]], num: int, den: int) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose payloads are alike: each side is joined to the pair, none is broadcast by force."""
+    names = pairs.columns
+
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+                yield batch.select(names).filter(pa.array(possible(_bitmaps(batch.column("s_a")), _bitmaps(batch.column("s_b")), n, m, num, den)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 same = alike(batch.column("x").to_pylist(), batch.column("y").to_pylist())
-                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+                yield batch.select(names).filter(pa.array(same, pa.bool_()))
 
+    brief = [payload.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}")) for i in "ab"]
+    near = materialize(pairs.join(brief[0], "a").join(brief[1], "b").select(*names, "n_a", "n_b", "s_a", "s_b").mapInArrow(rough, pairs.schema))
     left, right = (payload.select(F.col("id").alias(i), F.col("payload").alias(p)) for i, p in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = materialize(near.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(exact, pairs.schema))
+    discard(near)
+    return found
 
 
 def _star(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (key, id, component) -> (a, b): for each component, its pair with the head of the key group it shares most often."""
+    """rows (key, id, component) -> (a, b, u, v): for each component u, its pair with the head, of v, of the key group it shares most often."""
     heads = rows.groupBy("key", "component").agg(F.min("id").alias("id"))
     first = heads.groupBy("key").agg(F.min(F.struct(F.xxhash64("component", F.lit(seed)).alias("h"), "component", "id")).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     met = heads.join(rehashed(first, "key"), "key").where("component <> f.component").select("component", "id", F.col("f.component").alias("other"), F.col("f.id").alias("head"))
     met = met.groupBy("component", "other").agg(F.count("*").alias("n"), F.min(F.struct("id", "head")).alias("p"))
-    best = met.groupBy("component").agg(F.max(F.struct("n", F.col("p.id").alias("a"), F.col("p.head").alias("b"))).alias("m"))
-    return best.select("m.a", "m.b")
+    best = met.groupBy("component").agg(F.max(F.struct("n", F.col("p.id").alias("a"), F.col("p.head").alias("b"), "other")).alias("m"))
+    return best.select("m.a", "m.b", F.col("component").alias("u"), F.col("m.other").alias("v"))
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -83,65 +116,82 @@ def _joining(pairs: list[tuple[int, int]], ids: list[int], components: list[int]
 
 
 def _family_links(members: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], num: int, den: int, block: int) -> DataFrame:
-    """Links (a, b) within families, from members (id, component, family): all blocks of a family against each other."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("m"))
-    rows = members.join(rehashed(sizes, "family"), "family").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(payload, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "payload")
+    """Links (a, b) within families, from members (id, component, family): blocks of members outside the largest component against all."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("family").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = largest.select("family", F.col("top.component").alias("top"), F.ceil((F.col("all") - F.col("top.m")) / block).cast("int").alias("few"), F.ceil(F.col("all") / block).cast("int").alias("many"))
+    rows = members.join(rehashed(blocks, "family"), "family").withColumn("h", F.xxhash64("id"))
+    # i numbers blocks of members outside the largest component, j blocks of all
+    one = rows.where("component <> top").select("family", "id", "component", F.pmod("h", "few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(True).alias("left"))
+    all_ = rows.select("family", "id", "component", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod("h", "many").alias("j"), F.lit(False).alias("left"))
+    both = one.withColumn("i", F.col("i").cast("int")).unionByName(all_.withColumn("j", F.col("j").cast("int")))
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        i, j = rows[0]["i"], rows[0]["j"]
-        left = [r for r in rows if r["block"] == i]
-        right = left if i == j else [r for r in rows if r["block"] == j]
-        x = [as_set(r["payload"]) for r in left]
-        y = x if i == j else [as_set(r["payload"]) for r in right]
-        common = common_counts(x, y)
-        size = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
-        at = np.argwhere(den * common >= num * (size - common))
-        both = left + right
-        found = _joining([(int(a), len(left) + int(b)) for a, b in at if i != j or a < b], [r["id"] for r in both], [r["component"] for r in both])
+        left, right = [r for r in rows if r["left"]], [r for r in rows if not r["left"]]
+        found: list[tuple[int, int]] = []
+        if left and right:
+            bits, n, part = [], [], []
+            for some in (left, right):
+                bits.append(np.frombuffer(b"".join(r["sketch"] for r in some), np.uint64).reshape(len(some), -1))
+                n.append(np.array([r["n"] for r in some], np.int64))
+                part.append(np.array([r["component"] for r in some], np.int64))
+            open_ = np.stack([possible(x, bits[1], k, n[1], num, den) for x, k in zip(bits[0], n[0])]) & (part[0][:, None] != part[1][None, :])
+            i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if len(i):
+                common = common_counts([as_set(left[k]["payload"]) for k in i], [as_set(right[k]["payload"]) for k in j])
+                alike = open_[np.ix_(i, j)] & (den * common >= num * (n[0][i][:, None] + n[1][j][None, :] - common))
+                both = left + right
+                found = _joining([(int(i[a]), len(left) + int(j[b])) for a, b in np.argwhere(alike)], [r["id"] for r in both], [r["component"] for r in both])
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def _with_components(candidates: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return candidates.withColumn("component", F.col("id"))
-    return candidates.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return both.join(payload, "id").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def link(
-    candidates: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], alike: Callable[[list, list], list[bool]], num: int, den: int, *, rounds: int = 4,
+    candidates: DataFrame, payload_of: Callable[[DataFrame], DataFrame], as_set: Callable[[object], np.ndarray], alike: Callable[[list, list], list[bool]], num: int, den: int, *, rounds: int = 4,
     size_filter: Callable[[str, str], Column] | None = None, small: int = 48, block: int = 384,
 ) -> DataFrame:
-    """(id, component) of all ids with a link, from candidates (key long, id long, further columns) and payload (id, payload).
+    """(id, component) of all ids with a link, from candidates (key long, id long, further columns) and what ``payload_of`` gives for ids: (id, payload, n int, sketch).
 
-    ``as_set`` makes a payload a sorted set of uint64; two ids are linked if their sets' similarity is num / den or more, which ``alike`` tells
-    for lists of pairs. ``size_filter`` gives a condition on columns of both sides, named with _a and _b, that every link meets. ``small`` and
-    ``block`` choose how links are found, not which.
+    ``as_set`` makes a payload a sorted set of ``n`` uint64, of which ``sketch`` is the bitmap; two ids are linked if their sets' similarity is num / den
+    or more, which ``alike`` tells for lists of pairs. ``size_filter`` gives a condition on columns of both sides, named with _a and _b,
+    that every link meets. ``rounds``, ``small`` and ``block`` choose how links are found, not which.
     """
-    edges = None
-    components = None
-    for seed in range(rounds):
-        rows = _with_components(candidates.select("key", "id"), components)
-        found = materialize(verify(materialize(_star(rows, seed)), payload, alike))
-        edges = found if edges is None else edges.unionByName(found)
-        components = materialize(connected_components(edges))
-    # keys that still join different components
-    rows = _with_components(candidates, components)
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("head"), F.count("*").alias("m")).where("lo < hi").select("key", "head", "m")
-    rows = materialize(rows.join(rehashed(open_keys, "key"), "key"))
-    large = rows.where(F.col("m") > small)
-    families = materialize(connected_components(large.select(F.col("id").alias("a"), F.col("head").alias("b")))).withColumnRenamed("component", "family")
-    members = large.select("id", "component").distinct().join(families, "id")
-    edges = edges.unionByName(materialize(_family_links(members, payload, as_set, num, den, block)))
-    rows = rows.where(F.col("m") <= small).drop("head", "m").join(families, "id", "left")
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab")
-    pairs = left.join(right, "key").where("component_a < component_b AND coalesce(family_a <> family_b, true)")
+    counts = candidates.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1")
+    keyed = materialize(candidates.join(rehashed(counts, "key"), "key"))
+    payload = materialize(payload_of(keyed.select("id").distinct()))
+    large = keyed.where(F.col("m") > small).select("key", "id", "head")
+    few = keyed.where(F.col("m") <= small).drop("m", "head")
+    edges = []
+    if large.isEmpty():
+        few = few.withColumn("component", F.col("id"))
+    else:
+        state = materialize(large.withColumn("component", F.col("id")))
+        for seed in range(rounds):
+            pairs = materialize(_star(state, seed))
+            found = verify(pairs, payload, alike, num, den)
+            tried, joined = pairs.count(), found.count()
+            discard(pairs)
+            if joined:
+                edges.append(found.select("a", "b"))
+                moved = connected_components(found.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("now"))
+                state, old = materialize(state.join(rehashed(moved, "component"), "component", "left").select("key", "id", "head", F.coalesce("now", "component").alias("component"))), state
+                discard(old)
+            if 10 * joined < tried or not tried:
+                break
+        components = state.select("id", "component").distinct()
+        families = connected_components(state.select(F.col("id").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "family")
+        members = materialize(components.join(families, "id"))
+        edges.append(materialize(_family_links(members, payload, as_set, num, den, block)))
+        few = few.join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left, right = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in few.columns if c != "key")) for s in "ab")
+    # ids of one family have been compared
+    apart = F.expr("component_a <> component_b AND id_a < id_b" + (" AND coalesce(family_a <> family_b, true)" if "family" in few.columns else ""))
+    pairs = left.join(right, "key").where(apart)
     if size_filter is not None:
         pairs = pairs.where(size_filter("_a", "_b"))
     pairs = materialize(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    last = materialize(verify(pairs, payload, alike))
-    return connected_components(edges.unionByName(last))
+    edges.append(verify(pairs, payload, alike, num, den))
+    discard(pairs, keyed, payload)
+    return connected_components(reduce(DataFrame.unionByName, edges))

@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, mix, rehashed, shuffle_parts, slices
-from tracemill.llm.linking import link
+from tracemill.llm.common import Rolling, WordHashes, discard, hash_words, materialize, mix, rehashed, shuffle_parts, slices
+from tracemill.llm.linking import link, sketch
 
 _hashes = WordHashes(seed=5)
+SKETCH_BITS = 2048
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -194,20 +195,22 @@ def _candidates(sets: DataFrame, limits: Limits, hot_sample: int, hot_share: flo
 
 
 def _payload(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, payload): the whole set of each wanted class, from the text of its first document."""
+    """(id, payload, n, sketch): the whole set of each wanted class, from the text of its first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            ids, sets = [], []
+            ids, sets, sizes, bits = [], [], [], []
             for c, text in zip(batch.column("id").to_pylist(), batch.column("__text").to_pylist()):
                 grams = shingles(text, n)
                 if _signature(grams)[0] == c:
                     ids.append(c)
                     sets.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "payload"])
+                    sizes.append(len(grams))
+                    bits.append(sketch(grams, SKETCH_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "payload", "n", "sketch"])
 
     texts = rows.join(wanted, "doc_id").select("id", "doc_id", "__text", F.xxhash64("__text").alias("h")).dropDuplicates(["doc_id", "id", "h"])
-    return texts.select("id", "__text").mapInArrow(run, "id long, payload binary")
+    return texts.select("id", "__text").mapInArrow(run, "id long, payload binary, n int, sketch binary")
 
 
 def similar(left: list[bytes], right: list[bytes], num: int, den: int) -> list[bool]:
@@ -247,16 +250,17 @@ def ngram_components(
     owners = materialize(owners)
     candidates = _candidates(sets, limits, hot_sample, hot_share)
     candidates = materialize(candidates)
-    keys = candidates.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    candidates = materialize(candidates.join(rehashed(keys, "key"), "key"))
-    wanted = candidates.select("id").distinct().join(owners.select(F.col("c1").alias("id"), F.col("first").alias("doc_id")), "id")
-    payload = materialize(_payload(rows, materialize(wanted), n))
+
+    def payload_of(ids: DataFrame) -> DataFrame:
+        return _payload(rows, materialize(ids.join(owners.select(F.col("c1").alias("id"), F.col("first").alias("doc_id")), "id")), n)
+
     linked = link(
-        candidates, payload, lambda x: np.frombuffer(x, np.uint64), lambda x, y: similar(x, y, num, den), num, den,
+        candidates, payload_of, lambda x: np.frombuffer(x, np.uint64), lambda x, y: similar(x, y, num, den), num, den,
         size_filter=lambda a, b: (den * F.col(f"n{a}") >= num * F.col(f"n{b}")) & (den * F.col(f"n{b}") >= num * F.col(f"n{a}")),
         **linking,
     )
     linked = materialize(linked.select(F.col("id").alias("c1"), "component"))
+    discard(candidates)
     least = owners.join(linked, "c1").groupBy("component").agg(F.min("first").alias("component_id"))
     known = materialize(
         owners.join(linked.join(rehashed(least, "component"), "component"), "c1", "left").select("c1", "c2", F.coalesce("component_id", "first").alias("component_id"))
