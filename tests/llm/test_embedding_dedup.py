@@ -85,3 +85,10 @@ def test_components(spark):
             up[b] = a
     assert got == {a: root(a) for a in list(up)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_extreme_magnitudes(spark):
+    """Squares of the components neither overflow nor vanish."""
+    rows = [(1, [1e200, 2e200], 0), (2, [1e200, 2.0001e200], 0), (3, [1e-200, 2e-200], 0), (4, [2e-200, -1e-200], 0), (5, [1.0, 2.0], 0), (6, [2.0, -1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (1, 4), 6: (1, 4)}

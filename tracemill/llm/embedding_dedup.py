@@ -31,6 +31,7 @@ SLACK = 1e-5
 
 def _units(flat: np.ndarray, dim: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
