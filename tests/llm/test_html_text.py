@@ -1,3 +1,5 @@
+import time
+
 from tracemill.llm.html_text import extract, host_of, main_text, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -50,3 +52,27 @@ def test_consensus(spark):
     assert len(got) == len(rows) and text[9] == "brief text." and text[0] == ("words here " * 20).strip() and text[10] == text[11] == ""
     assert all(r.n_chars == len(r.text) for r in got)
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers():
+    """Forms and marked elements around the article are not taken for what is outside it."""
+    body = "<h1>Head</h1>" + "<p>" + "word " * 80 + "</p>"
+    want = "Head " + ("word " * 80).strip()
+    comments = "<div class='comments'>" + "<article class='comment'><p>reader says much</p></article>" * 60 + "</div>"
+    for page in [
+        f"<form id=aspnetForm><nav>Menu</nav><div class=content>{body}</div></form>",
+        f"<div class='page-with-comments social-enabled'><article>{body}</article>{comments}</div>",
+        f"<div class='header-fixed'><div>{body}</div></div>",
+        f"<div class='has-comments comments-open'><main>{body}</main></div>{comments}",
+        f"<div class='sidebar-right'><div class='form'><article>{body}</article></div></div><div class='related'><article><p>other one</p></article></div>",
+    ]:
+        assert extract(f"<html><body>{page}</body></html>", None) == want, page
+    # a form or comments beside the article stay outside, however long
+    assert extract(f"<body><article>{body}</article>{comments}<form><p>{'mail ' * 20}</p></form></body>", None) == want
+
+
+def test_deep_nesting():
+    started = time.process_time()
+    for tag in ("div", "span", "article", "div class=comments"):
+        assert extract(f"<{tag}>" * 100_000 + "deep", None) in ("deep", "")
+    assert time.process_time() - started < 60
