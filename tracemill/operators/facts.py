@@ -139,7 +139,8 @@ def quarantine(attributed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def session_recovery_links(obs: DataFrame, by: Sequence[str] = ("session_id",), key: Sequence[str] = ("kind", "operation", "component"), order: str = "sequence", value: str = "revision_id") -> DataFrame:
     """Failures with the first success of the same key strictly later in the session, null if none."""
     rows = obs.withColumn("__o", normalized_outcome("outcome")).where("__o <> ''")
-    w = Window.partitionBy(*by, *key).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
+    # backwards, so that each frame adds a row to the one before: linear in the size of a key
+    w = Window.partitionBy(*by, *key).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__s", F.min(F.when(F.col("__o") == "success", F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).over(w))
     return rows.where("__o = 'failure'").withColumn("recovered_at", F.col("__s.o")).withColumn("recovered_by", F.col("__s.v")).withColumn("recovered", F.col("__s").isNotNull()).drop("__o", "__s")
 
@@ -150,6 +151,6 @@ def cross_session_recovery_links(obs: DataFrame, by: Sequence[str] = ("project_i
     A success of the same session ends the failure without a link, so sessions are compared after the success is found.
     """
     rows = obs.withColumn("__o", normalized_outcome("outcome")).where("__o <> ''")
-    w = Window.partitionBy(*by, *key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("__s", F.first(F.when(F.col("__o") == "success", F.struct("session_id", "revision_id")), ignorenulls=True).over(w))
+    w = Window.partitionBy(*by, *key).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__s", F.last(F.when(F.col("__o") == "success", F.struct("session_id", "revision_id")), ignorenulls=True).over(w))
     return rows.where("__o = 'failure' AND __s IS NOT NULL AND __s.session_id <> session_id").withColumn("recovered_session", F.col("__s.session_id")).withColumn("recovered_by", F.col("__s.revision_id")).drop("__o", "__s")

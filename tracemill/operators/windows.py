@@ -31,7 +31,7 @@ def asof_last(left: DataFrame, right: DataFrame, by: Sequence[str], order: str,
 
 def first_later(df: DataFrame, by: Sequence[str], order: str, when: Column, value: Column, name: str) -> DataFrame:
     """``value`` of the first row of the group with ``when`` true and a strictly greater ``order``."""
-    w = Window.partitionBy(*by).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.min(F.when(when, F.struct(F.col(order).alias("o"), value.alias("v")))).over(w)["v"])
 
 
