@@ -372,7 +372,7 @@ def redaction_counts(spark, sf):
     return redaction_findings(fx.table(spark, sf, "documents"), keys=("source",))
 
 
-@query()
+@query("""SELECT p_partkey, round(-sum(share * log2(share)), 6) AS bits FROM (SELECT p_partkey, count(*) / any_value(length(p_name)) AS share FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS x FROM part) c WHERE x <> '' GROUP BY p_partkey, x) s GROUP BY 1""")
 def name_entropy(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", F.round(shannon_entropy("p_name"), 6).alias("bits"))
 
@@ -415,3 +415,6 @@ def project_modules(spark, sf):
 def event_recency(spark, sf):
     e = fx.table(spark, sf, "events")
     return e.groupBy(recency_bucket(F.lit(REFERENCE).cast("timestamp"), F.col("ts")).alias("bucket")).agg(F.count("*").alias("events"))
+
+
+from tracemill.plans import views  # noqa: E402, F401  registers its queries here, too
