@@ -179,6 +179,17 @@ def rehashed(grouped: DataFrame, key: str = "w") -> DataFrame:
     return grouped.withColumn(key, F.col(key) + F.lit(0))
 
 
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, before a join that shuffles them; rows of wanted keys all stay.
+
+    The keys are hashed to a bitmap of 2 ** bits places, at most 2 ** (bits - 6) rows of two numbers, so its broadcast is bounded (some 8 MB) whatever
+    the input; a fuller bitmap lets more rows pass and changes no result of the join.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    bitmap = wanted.select(place.alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 AS int))")).alias("__b"))
+    return rows.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bitmap), "__w").where("shiftright(__b, cast(__p & 63 AS int)) & 1 = 1").drop("__p", "__w", "__b")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: edges(a, b long) -> (id, component), component the least id reachable.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, discard, hash_words, materialize, mix, rehashed, shuffle_parts, slices
+from tracemill.llm.common import Rolling, WordHashes, discard, hash_words, materialize, mix, only_wanted, rehashed, shuffle_parts, slices
 from tracemill.llm.linking import link, sketch
 
 _hashes = WordHashes(seed=5)
@@ -209,7 +209,7 @@ def _payload(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     bits.append(sketch(grams, SKETCH_BITS))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "payload", "n", "sketch"])
 
-    texts = rows.join(wanted, "doc_id").select("id", "doc_id", "__text", F.xxhash64("__text").alias("h")).dropDuplicates(["doc_id", "id", "h"])
+    texts = only_wanted(rows, wanted, "doc_id").join(wanted, "doc_id").select("id", "doc_id", "__text", F.xxhash64("__text").alias("h")).dropDuplicates(["doc_id", "id", "h"])
     return texts.select("id", "__text").mapInArrow(run, "id long, payload binary, n int, sketch binary")
 
 
