@@ -56,6 +56,17 @@ def test_secrets(spark, text, want):
     assert one(spark, r.redact_secrets("x"), text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ('password: ["alpha1",\n "beta2"] tail', "[REDACTED:NAMED_SECRET] tail"), ('secret = {"a": {"b": "}"}, "c": [1]}; x', "[REDACTED:NAMED_SECRET]; x"),
+    ("secret = -----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----\nafter", "[REDACTED:NAMED_SECRET]\nafter"),
+    ('secret: "k -----BEGIN EC PRIVATE KEY-----\na\"b\n-----END EC PRIVATE KEY----- z" y', "[REDACTED:NAMED_SECRET] y"),
+    ("password: [open\nnext", "[REDACTED:NAMED_SECRET]\nnext"), ('password: "open\nnext', "[REDACTED:NAMED_SECRET]\nnext"), ("cookie = -----BEGIN PRIVATE KEY-----\nabc", "[REDACTED:NAMED_SECRET]"),
+    ("secret: " + "[" * 20_000 + "\nnext", "[REDACTED:NAMED_SECRET]\nnext"), ("password:", "[REDACTED:NAMED_SECRET]"),
+])
+def test_structured_secrets(spark, text, want):
+    assert one(spark, r.redact_secrets("x"), text) == want
+
+
 def test_findings(spark):
     frame = spark.createDataFrame([(t,) for t, _ in CASES], "text string")
     got = {x.rule: x.findings for x in r.redaction_findings(frame).collect()}
