@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators.accounting import session_usage
@@ -27,6 +28,29 @@ def test_lines(spark, tmp_path):
     assert (b.lines, b.last_offset) == (4, 11)
 
 
+def test_lines_of_splits(spark, tmp_path):
+    texts = {"a.jsonl": "".join(f"{'é' * (i % 7)}{i}\n" + "\n" * (i % 3 == 0) for i in range(3000)), "b.jsonl": "one\r\n\ntwo", "c.jsonl": ""}
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    want = set()
+    for name, text in texts.items():
+        at = 0
+        for i, line in enumerate(text.encode().split(b"\n")):
+            if line.strip():
+                want.add((name, i + 1, at, line.removesuffix(b"\r").decode()))
+            at += len(line) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    try:
+        split = transcripts.read_session_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.text(str(tmp_path), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    for rows in (split, transcripts.lines_of(whole).collect()):
+        got = [(r.file.rsplit("/", 1)[1], r.ordinal, r.byte_offset, r.line) for r in rows]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_provider_a(spark, tmp_path):
     usage = {"input_tokens": 10, "cached_input_tokens": 0, "cache_write_input_tokens": 0, "output_tokens": 5, "reasoning_output_tokens": 0, "total_tokens": 15}
     lines = [
@@ -92,5 +116,12 @@ def test_generations(spark, tmp_path):
     now = {(r.project_id, r.k, r.v, r.generation_id) for r in generations.read_generation(spark, table).collect()}
     assert now == {("p", "a", 2, "g3"), ("p", "b", 1, "g3"), ("q", "c", 1, "g1")}
     assert {r.v for r in generations.read_generation(spark, table, "p", "g1").collect()} == {1}
+    # as if a run had ended after its data and before its log: the next one writes over it
+    frame(7).withColumn("generation_id", F.lit("g4")).write.mode("append").partitionBy("project_id", "generation_id").parquet(table + "/data")
+    assert [r.project_id for r in generations.write_generation(frame(3), table, "g4").collect()] == ["p"]
+    assert generations.write_generation(frame(3), table, "g4").count() == 0
+    assert sorted((r.k, r.v) for r in generations.read_generation(spark, table, "p").collect()) == [("a", 3), ("b", 1)]
+    with pytest.raises(ValueError, match="other content"):
+        generations.write_generation(frame(4), table, "g4")
     a, b = (generations.report_json(frame(1).select(*c)).first() for c in (("k", "v"), ("v", "k")))
     assert a == b and json.loads(a.json)["zz_digest"] == a.digest

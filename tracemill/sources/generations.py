@@ -27,6 +27,7 @@ def write_generation(df: DataFrame, table: str, generation_id: str) -> DataFrame
     """Add a generation of the projects whose content changed (S10, ST9). Returns what was published; unchanged projects keep their last one.
 
     Rows go to partitions of project and generation; a small log of generations is appended after them, so a reader never sees part of one.
+    A repeated call with the same id writes over what an unfinished one left and adds nothing to a finished one; an id in use for other content raises.
     """
     spark = df.sparkSession
     rows = df.withColumn("project_id", F.col("project_id").cast("string"))
@@ -34,9 +35,14 @@ def write_generation(df: DataFrame, table: str, generation_id: str) -> DataFrame
     log = _log(spark, table)
     if log is not None:
         last = log.groupBy("project_id").agg(F.max_by("content_digest", F.struct("published_at", "generation_id")).alias("__last"))
-        digests = digests.join(last, "project_id", "left").where("__last IS NULL OR __last <> content_digest").drop("__last")
+        used = log.where(F.col("generation_id") == generation_id).groupBy("project_id").agg(F.first("content_digest").alias("__used"))
+        digests = digests.join(last, "project_id", "left").join(used, "project_id", "left")
+        taken = digests.where("__used <> content_digest").first()
+        if taken:
+            raise ValueError(f"generation {generation_id} of project {taken.project_id} is published with other content")
+        digests = digests.where("__used IS NULL AND (__last IS NULL OR __last <> content_digest)").drop("__last", "__used")
     digests = materialize(digests.withColumn("generation_id", F.lit(generation_id)))
-    rows.join(digests.select("project_id", "generation_id"), "project_id").write.mode("append").partitionBy("project_id", "generation_id").parquet(f"{table}/data")
+    rows.join(digests.select("project_id", "generation_id"), "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "generation_id").parquet(f"{table}/data")
     published = digests.select("project_id", "generation_id", "content_digest", F.current_timestamp().alias("published_at"))
     published.write.mode("append").parquet(f"{table}/_log")
     return digests

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONTENT = "array<struct<type: string, text: string>>"
 USAGE = "input_tokens long, cached_input_tokens long, cache_write_input_tokens long, output_tokens long, reasoning_output_tokens long, total_tokens long"
@@ -13,25 +16,50 @@ USAGE = "input_tokens long, cached_input_tokens long, cache_write_input_tokens l
 BOOKKEEPING = ("summary", "file-history-snapshot", "queue-operation", "progress", "system", "last-prompt", "ai-title", "mode", "permission-mode", "attachment")
 
 
+def _line_columns(rows: DataFrame) -> DataFrame:
+    line = F.regexp_replace("line", r"\r$", "")
+    return rows.withColumn("line", line).where(F.trim("line") != "").withColumn("source_hash", F.sha2(F.trim("line"), 256))
+
+
 def lines_of(texts: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
     """Lines of whole files with ordinal from 1, byte offset and SHA-256 of the trimmed line (S1). Blank lines use up an ordinal and give no row.
 
-    Offsets are summed inside each file's array, so nothing is shuffled.
+    For streams and small files, as a file is one row; ``read_session_lines`` splits files.
     """
-    parts = F.split(F.col(value), "\n", -1)
-    starts = F.aggregate(
-        F.transform(parts, lambda x: F.octet_length(x) + 1), F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n.cast("long"))
-    )
-    rows = texts.select(*[c for c in texts.columns if c != value], F.posexplode(F.arrays_zip(parts.alias("line"), F.slice(starts, F.lit(1), F.size(parts)).alias("offset"))).alias("__n", "__l"))
-    line = F.regexp_replace(F.col("__l.line"), r"\r$", "")
-    rows = rows.select(*[c for c in texts.columns if c != value], (F.col("__n") + 1).alias("ordinal"), F.col("__l.offset").alias("byte_offset"), line.alias("line"))
-    return rows.where(F.trim("line") != "").withColumn("source_hash", F.sha2(F.trim("line"), 256))
+    kept = [c for c in texts.columns if c != value]
+    schema = T.StructType([*(texts.schema[c] for c in kept), T.StructField("ordinal", T.IntegerType()), T.StructField("byte_offset", T.LongType()), T.StructField("line", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(value).to_pylist()):
+                if text is None:
+                    continue
+                lines = text.split(b"\n")
+                ends = np.cumsum([len(x) + 1 for x in lines])
+                same = [pa.concat_arrays([batch.column(c).slice(i, 1)] * len(lines)) for c in kept]
+                own = [pa.array(np.arange(1, len(lines) + 1, dtype=np.int32)), pa.array(np.concatenate([[0], ends[:-1]])), pa.array([x.decode(errors="replace") for x in lines])]
+                yield pa.RecordBatch.from_arrays(same + own, names=schema.names)
+
+    return _line_columns(texts.withColumn(value, F.col(value).cast("binary")).mapInArrow(run, schema))
 
 
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all transcript files under ``path``, with file and its modification time."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"))
-    return lines_of(whole)
+    """Lines of all transcript files under ``path``, with file and its modification time.
+
+    Files are read in splits of bounded size: lines are numbered and offsets summed within a split, and splits, one row each, within
+    a file; no task or row holds a whole file.
+    """
+    at = "_metadata.file_block_start"
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col(at).alias("__split"), F.monotonically_increasing_id().alias("__row"), (F.octet_length("value") + 1).cast("long").alias("__bytes")
+    )
+    before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "__split").agg(F.count("*").alias("n"), F.sum("__bytes").alias("b"))
+    splits = splits.select("file", "__split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__b"))
+    inside = Window.partitionBy("file", "__split").orderBy("__row")
+    rows = rows.withColumn("__i", F.row_number().over(inside)).withColumn("__o", F.sum("__bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(splits, ["file", "__split"]).select("file", "modified_at", (F.col("__n") + F.col("__i")).cast("int").alias("ordinal"), (F.col("__b") + F.coalesce("__o", F.lit(0))).alias("byte_offset"), "line")
+    return _line_columns(rows)
 
 
 def split_malformed(lines: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
