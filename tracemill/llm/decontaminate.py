@@ -7,7 +7,8 @@ hashes must be windows of an item.
 
 While the benchmark's windows number at most ``broadcast_windows`` (counted first), they are sent to every task
 and documents are judged where they are read, without a shuffle. Beyond it, fingerprints of both sides are joined by
-a shuffle, and only documents with a fingerprint in common are compared with the items that share one.
+a shuffle, and windows are written out only around a document's fingerprints that some item has too. They are joined
+to the items' windows, each once a document, so neither a document nor an item is paired with others whole.
 
 Edge cases: null or wordless texts have no words, no hits and are not contaminated; a wordless item is no window; an item of
 fewer than n words is one window of its own length, found through whole-window hashes of that length (winnowing
@@ -22,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, slices, winnow, with_text
+from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, rehashed, slices, winnow, with_text
 
 #: Byte translation: A-Z to a-z, all ASCII that is neither letter nor digit to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _hashes = WordHashes(), WordHashes(seed=7)
+#: A word as a pattern: what ``words_of`` finds, upper case included.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -149,26 +152,60 @@ def _judge(docs: DataFrame, text: str, items: list[tuple[object, str | None]], n
     return rows.mapInArrow(run, schema)
 
 
-def _fingerprints(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
-    """(print, key): winnowed fingerprints of texts, and tagged whole-window hashes for lengths under n."""
+def _fingerprints(rows: DataFrame, key: str, n: int, k: int, lengths: list[int] | None = None) -> DataFrame:
+    """(print, key, at, size): winnowed fingerprints for windows of n words, and hashes of whole windows for each of ``lengths`` under n.
+
+    Without ``lengths`` a text has its own: n, or all its words if they are fewer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            prints, keys = [], []
-            for owner, text, sizes in zip(batch.column(key).to_pylist(), batch.column("__text").to_pylist(), batch.column("__sizes").to_pylist()):
+            prints, owners, places, sizes = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], []
+            for owner, text in zip(batch.column(key).to_pylist(), batch.column("__text").to_pylist()):
                 words = words_of(text)
                 rolls = Rolling(hash_words(words, _hashes[0]))
-                grams = rolls.window(k)
-                got = [grams[winnow(grams, n - k + 1)]] if n in sizes else []
-                got += [rolls.window(s) ^ np.uint64(s) for s in sizes if s < n]
-                for g in got:
-                    g = np.unique(g)
-                    prints.append(g)
-                    keys += [owner] * len(g)
-            flat = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(keys, pa.int64())], names=["print", key])
+                for size in ([min(n, len(words))] if lengths is None else lengths) if words else ():
+                    if size > len(words):
+                        continue
+                    if size == n:
+                        grams = rolls.window(k)
+                        at = winnow(grams, n - k + 1)
+                        got = grams[at]
+                    else:
+                        got = rolls.window(size) ^ np.uint64(size)
+                        at = np.arange(len(got))
+                    prints.append(got)
+                    places.append(at)
+                    owners += [owner] * len(at)
+                    sizes += [size] * len(at)
+            cols = [pa.array(np.concatenate(prints).view(np.int64)), pa.array(owners, batch.column(key).type), pa.array(np.concatenate(places), pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["print", key, "at", "size"])
+
+    return rows.select(key, "__text").mapInArrow(run, f"print long, {key} {rows.schema[key].dataType.simpleString()}, at int, size int")
+
+
+def _hashed_windows(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
+    """(a, b, size, key, start): both hashes of the windows around the ``places`` (at, size) of each text."""
 
-    return rows.mapInArrow(run, f"print long, {key} long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            a, b, owners, sizes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+            for owner, text, places in zip(*(batch.column(c).to_pylist() for c in (key, "__text", "places"))):
+                words = words_of(text)
+                rolls = [Rolling(hash_words(words, h)) for h in _hashes]
+                for size in {p["size"] for p in places}:
+                    at = np.array([p["at"] for p in places if p["size"] == size], np.int64)
+                    near = np.unique((at[:, None] + np.arange(k - n, 1)).ravel()) if size == n else np.unique(at)
+                    near = near[(near >= 0) & (near <= len(words) - size)]
+                    a.append(rolls[0].window(size)[near])
+                    b.append(rolls[1].window(size)[near])
+                    starts.append(near)
+                    owners += [owner] * len(near)
+                    sizes += [size] * len(near)
+            cols = [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int32()), pa.array(owners, batch.column(key).type), pa.array(np.concatenate(starts), pa.int32())], names=["a", "b", "size", key, "start"])
+
+    return rows.select(key, "__text", "places").mapInArrow(run, f"a long, b long, size int, {key} {rows.schema[key].dataType.simpleString()}, start int")
 
 
 def decontaminate(
@@ -191,34 +228,28 @@ def decontaminate(
 
 
 def _judge_by_join(rows: DataFrame, bench: DataFrame, doc_id: str, n: int, k: int, per: int, keep: tuple[str, ...]) -> DataFrame:
-    """The same for benchmarks of any size: documents meet only items with which they share a fingerprint."""
-    word_count = F.udf(lambda t: min(len(words_of(t)), n), "int")
-    bench = materialize(bench.withColumn("__n", F.monotonically_increasing_id()).withColumn("__sizes", F.array(word_count("__text"))))
-    lengths = [r[0] for r in bench.select(F.explode("__sizes")).distinct().collect() if r[0]]  # n values at most
-    rows = rows.withColumn("__row", F.xxhash64(*rows.columns))
-    prints = _fingerprints(rows.withColumn("__sizes", F.lit(lengths or [n])), "__row", n, k)
-    of_items = _fingerprints(bench.where("__sizes[0] > 0"), "__n", n, k)
-    pairs = materialize(prints.join(of_items.distinct(), "print").select("__row", "__n").distinct())
-    schema = rows.select("__row").schema.add("__place", "long").add("__item", "string")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: tuple[list, list, list] = ([], [], [])
-            for row, item, text, own in zip(*(batch.column(c).to_pylist() for c in ("__row", "__item", "text", "own"))):
-                hit, owners = ItemWindows([(item, own)], n, k).hits(words_of(text))
-                for place in np.flatnonzero(hit).tolist():
-                    out[0].append(row), out[1].append(place), out[2].append(str(item))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=schema.names)
-
-    texts = rows.select("__row", F.col("__text").alias("text")).dropDuplicates(["__row"])
-    owns = bench.select("__n", "__item", F.col("__text").alias("own"))
-    hits = materialize(pairs.join(texts, "__row").join(owns, "__n").select("__row", "__item", "text", "own").mapInArrow(compare, schema))
-    found = (
-        hits.select("__row", "__place").distinct().groupBy("__row").agg(F.count("*").alias("n_hit"))
-        .join(hits.select("__row", "__item").distinct().groupBy("__row").agg(F.array_sort(F.collect_list("__item")).alias("names")), "__row")
-    )
-    count = F.udf(lambda t: len(words_of(t)), "long")
-    done = rows.withColumn("n_words", F.coalesce(count("__text"), F.lit(0).cast("long"))).drop("__text").join(found, "__row", "left")
+    """The same for benchmarks of any size: windows of documents meet windows of items."""
+    bench = materialize(bench.select(F.monotonically_increasing_id().alias("__n"), F.coalesce(F.col("__item").cast("string"), F.lit("None")).alias("__item"), "__text"))
+    gathered = F.collect_list(F.struct("at", "size")).alias("places")
+    prints = materialize(_fingerprints(bench, "__n", n, k))
+    lengths = sorted(r[0] for r in prints.select("size").distinct().collect())  # n values at most
+    placed = bench.join(prints.groupBy("__n").agg(gathered), "__n")
+    of_items = _hashed_windows(placed, "__n", n, k).join(bench.select("__n", "__item"), "__n").select("a", "b", "size", "__item").distinct()
+    of_items = materialize(of_items)
+
+    rows = rows.withColumn("__row", F.concat_ws("-", F.hex(F.xxhash64(*rows.columns)), F.hex(F.xxhash64(F.lit(n), *rows.columns))))
+    texts = rows.select("__row", "__text").dropDuplicates(["__row"])
+    known = rehashed(prints.select("print").distinct(), "print")
+    seeds = _fingerprints(rows, "__row", n, k, lengths).join(known, "print", "left_semi").select("__row", "at", "size").distinct().groupBy("__row").agg(gathered)
+    windows = _hashed_windows(texts.join(seeds, "__row"), "__row", n, k)
+    hits = materialize(windows.join(rehashed(of_items.select("a", "b", "size").distinct(), "a"), ["a", "b", "size"], "left_semi"))
+
+    before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("__row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    stop = F.col("start") + F.col("size")
+    covered = hits.select("__row", (stop - F.greatest(F.col("start"), F.least(stop, F.coalesce(before, F.col("start"))))).alias("new")).groupBy("__row").agg(F.sum("new").cast("long").alias("n_hit"))
+    names = hits.select("__row", "a", "b", "size").distinct().join(rehashed(of_items, "a"), ["a", "b", "size"]).select("__row", "__item").distinct()
+    found = covered.join(names.groupBy("__row").agg(F.array_sort(F.collect_list("__item")).alias("names")), "__row")
+    done = rows.withColumn("n_words", F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long")).drop("__text").join(found, "__row", "left")
     return done.select(
         *keep, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")), 256).alias("items_sha256"),
