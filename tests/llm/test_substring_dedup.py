@@ -3,6 +3,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tracemill.llm.common import join_hot, only_wanted
 from tracemill.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,3 +54,21 @@ def test_brute_force(spark, length):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_join(spark):
+    rows = spark.createDataFrame([(i % 1500 if i % 3 else 7, i) for i in range(6000)] + [(None, 9)], "k long, v long")
+    small = rows.where("k % 2 = 1").groupBy("k").agg(F.min("v").alias("least"), F.count("*").alias("m"))
+    got = sorted(map(tuple, join_hot(rows, small, ["k"]).collect()))
+    assert got == sorted(map(tuple, rows.join(small.drop("m"), "k").collect())) and len(got) > 2000
+
+
+def test_bitmap_loses_no_wanted_row(spark):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(-500, 500)] + [(None, "n")], "k long, v string")
+    wanted = rows.where("k % 7 = 3").select("k", F.lit(1).alias("w"))
+    for bits in (6, 10, 24):
+        passed = only_wanted(rows, wanted, "k", bits)
+        assert passed.columns == rows.columns
+        assert sorted(map(tuple, passed.join(wanted, "k").collect())) == sorted(map(tuple, rows.join(wanted, "k").collect()))
+    assert passed.count() == wanted.count()
+    assert only_wanted(rows, wanted.limit(0), "k").count() == 0

@@ -190,6 +190,21 @@ def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) ->
     return rows.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bitmap), "__w").where("shiftright(__b, cast(__p & 63 AS int)) & 1 = 1").drop("__p", "__w", "__b")
 
 
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``small``, a row for each of the ``keys`` with its number of rows ``m``, which is dropped: a key of more than a thousandth of all rows never lands in one task.
+
+    There are fewer than ``share`` such keys, so they are broadcast; rows of the others are shuffled. Both inputs are read more than once.
+    """
+    total = rows.count()
+    hot = small.where(F.col("m") * share > total).drop("m")
+    same = [F.col(f"r.{k}") == F.col(f"h.{k}") for k in keys]
+    extra = [c for c in small.columns if c not in (*keys, "m")]
+    columns = [F.col(f"r.{c}") for c in rows.columns]
+    often = rows.alias("r").join(F.broadcast(hot).alias("h"), same).select(*columns, *(F.col(f"h.{c}") for c in extra))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return often.unionByName(rest.join(rehashed(small.where(F.col("m") * share <= total).drop("m"), keys[0]), keys).select(*rows.columns, *extra))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: edges(a, b long) -> (id, component), component the least id reachable.
 

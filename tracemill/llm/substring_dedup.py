@@ -7,7 +7,8 @@ class, whose later members repeat its first member over the whole context. Only
 are the windows of each class's first document written out, to find which of them an earlier class has too. Windows that
 follow each other merge into maximal repeats.
 
-All groupings are by hash with partial aggregation and joins; no group's members are gathered anywhere. 64-bit hashes
+All groupings are by hash with partial aggregation and joins; no group's members are gathered anywhere, and anchors
+and classes of more than a thousandth of all places are joined where these are, without a shuffle. 64-bit hashes
 of anchor and context together, or two 64-bit hashes of a window, stand for equality.
 
 Edge cases: null and empty texts have no words; texts under ``length`` words lose nothing; a window that repeats only inside its
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, hash_words, materialize, mix, rehashed, slices, winnow
+from tracemill.llm.common import Rolling, WordHashes, hash_words, join_hot, materialize, mix, rehashed, slices, winnow
 
 _hashes = WordHashes(), WordHashes(seed=11)
 
@@ -104,15 +105,15 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     rows = _rows(docs, doc_id, text)
     anchors = materialize(_anchors(rows, length, k))
     groups = materialize(
-        anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-        .where("first < last").select("anchor", "first", (F.col("c0") == F.col("c1")).alias("alike"))
+        anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.count("*").alias("m"))
+        .where("first < last").select("anchor", "first", (F.col("c0") == F.col("c1")).alias("alike"), "m")
     )
-    shared = materialize(anchors.join(groups, "anchor"))
+    shared = materialize(join_hot(anchors, groups, ["anchor"]))
     start = F.greatest(F.col("at") - reach, F.lit(0)).alias("start")
     whole = shared.where("alike AND doc_id > first").select("rid", start, "stop")
     mixed = shared.where("NOT alike").drop("first", "alike")
-    classes = rehashed(mixed.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "anchor")
-    mixed = materialize(mixed.join(classes, ["anchor", "context"]))
+    classes = materialize(mixed.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")))
+    mixed = materialize(join_hot(mixed, classes, ["anchor", "context"]))
     later = mixed.where("doc_id > first").select("rid", start, "stop")
     windows = materialize(_windows(rows.where("doc_id IS NOT NULL"), mixed.where("doc_id = first"), length, k))
     least = materialize(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
