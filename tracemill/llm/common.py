@@ -182,7 +182,7 @@ def rehashed(grouped: DataFrame, key: str = "w") -> DataFrame:
 def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``, before a join that shuffles them; rows of wanted keys all stay.
 
-    The keys are hashed to a bitmap of 2 ** bits places, at most 2 ** (bits - 6) rows of two numbers, so its broadcast is bounded (some 8 MB) whatever
+    The keys are hashed to a bitmap of 2 ** bits places, at most 2 ** (bits - 6) rows of two numbers, so its broadcast is bounded (10.5 MB when full) whatever
     the input; a fuller bitmap lets more rows pass and changes no result of the join.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
