@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, grammar, html_text, line_dedup, ngram_join, substring_dedup
+from tracemill.llm import bpe, chat, classifier, decontaminate, embedding_dedup, filter_audit, grammar, html_text, line_dedup, ngram_join, spelling, substring_dedup, token_counts
 from tracemill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair": op1_repair,
     "op2_substrings": op2_substrings,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
 
 _COMPONENTS = """links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -117,4 +132,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) h GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op12_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+ judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+  CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS s FROM d LEFT JOIN said ON said.doc_id = d.doc_id),
+ masks AS (SELECT part, s, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM judged GROUP BY 1, 2),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+ orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+ placed AS (SELECT part, s, n, g, x, o, CASE WHEN s = '' THEN 6 ELSE list_min(list_transform(string_split(s, ''), lambda y: instr(o, y))) END AS first FROM masks, orders),
+ steps AS (SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, o[k] AS f, sum(n) FILTER (first > k) AS kept, sum(n) FILTER (first = k) AS removed, sum(n) FILTER (contains(s, o[k]) AND first < k) AS redundant,
+  sum(n) FILTER (s = o[k]) AS unique_fails, sum(g) FILTER (first = k) AS good_lost, sum(x) FILTER (first = k) AS toxic_lost FROM placed, range(1, 6) r(k) GROUP BY part, o, k)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM steps""",
+    "op13_spelling": r"""WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+ runs AS (SELECT doc_id, r, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM found GROUP BY 1, 2),
+ hashed AS (SELECT r, n, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(len(x) // 2), lambda i: CAST(instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17 AS UBIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(i AS UBIGINT))), lambda y, i: xor(y >> 1, CAST(3988292384 AS UBIGINT) * (y & 1)))), CAST(4294967295 AS UBIGINT)) AS h FROM runs),
+ kept AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM hashed),
+ words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+ dels AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) p),
+ shorter AS (SELECT DISTINCT d.word AS a, d.n AS an, w.word AS b, w.n AS bn FROM dels d JOIN words w ON w.word = d.s),
+ near AS (SELECT x.word AS a, y.word AS b, y.n AS bn FROM dels x JOIN dels y ON x.s = y.s AND x.i = y.i AND x.word <> y.word UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+ best AS (SELECT a, count(*) AS n_near, arg_min(b, (-bn, b)) AS b, max(bn) AS bn FROM near GROUP BY 1),
+ forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n FROM words LEFT JOIN best ON a = word),
+ chain(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, f.form FROM chain JOIN forms f ON f.word = chain.last WHERE f.form IS NOT NULL)
+SELECT forms.word, forms.form, e.last AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN (SELECT chain.word, chain.last FROM chain JOIN forms f ON f.word = chain.last WHERE f.form IS NULL) e ON e.word = forms.word""",
 }
