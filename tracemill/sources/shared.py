@@ -10,16 +10,32 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write and reread: cuts the lineage of iterative plans and survives lost executors. A folder is made only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir. Without that setting one machine gets a temporary folder; a cluster is refused, as its machines share none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tracemill_folder", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.sparkContext._tracemill_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that no later result reads."""
+    for df in written:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -16,7 +16,8 @@ USAGE = "input_tokens long, cached_input_tokens long, cache_write_input_tokens l
 BOOKKEEPING = ("summary", "file-history-snapshot", "queue-operation", "progress", "system", "last-prompt", "ai-title", "mode", "permission-mode", "attachment")
 
 
-def _line_columns(rows: DataFrame) -> DataFrame:
+def line_columns(rows: DataFrame) -> DataFrame:
+    """Lines without carriage returns and blank ones, with the SHA-256 of the trimmed line."""
     line = F.regexp_replace("line", r"\r$", "")
     return rows.withColumn("line", line).where(F.trim("line") != "").withColumn("source_hash", F.sha2(F.trim("line"), 256))
 
@@ -24,7 +25,7 @@ def _line_columns(rows: DataFrame) -> DataFrame:
 def lines_of(texts: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
     """Lines of whole files with ordinal from 1, byte offset and SHA-256 of the trimmed line (S1). Blank lines use up an ordinal and give no row.
 
-    For streams and small files, as a file is one row; ``read_session_lines`` splits files.
+    For small files, as a file is one row; ``read_session_lines`` splits files.
     """
     kept = [c for c in texts.columns if c != value]
     schema = T.StructType([*(texts.schema[c] for c in kept), T.StructField("ordinal", T.IntegerType()), T.StructField("byte_offset", T.LongType()), T.StructField("line", T.StringType())])
@@ -40,7 +41,7 @@ def lines_of(texts: DataFrame, file: str = "file", value: str = "value") -> Data
                 own = [pa.array(np.arange(1, len(lines) + 1, dtype=np.int32)), pa.array(np.concatenate([[0], ends[:-1]])), pa.array([x.decode(errors="replace") for x in lines])]
                 yield pa.RecordBatch.from_arrays(same + own, names=schema.names)
 
-    return _line_columns(texts.withColumn(value, F.col(value).cast("binary")).mapInArrow(run, schema))
+    return line_columns(texts.withColumn(value, F.col(value).cast("binary")).mapInArrow(run, schema))
 
 
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +60,7 @@ def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("file", "__split").orderBy("__row")
     rows = rows.withColumn("__i", F.row_number().over(inside)).withColumn("__o", F.sum("__bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.join(splits, ["file", "__split"]).select("file", "modified_at", (F.col("__n") + F.col("__i")).cast("int").alias("ordinal"), (F.col("__b") + F.coalesce("__o", F.lit(0))).alias("byte_offset"), "line")
-    return _line_columns(rows)
+    return line_columns(rows)
 
 
 def split_malformed(lines: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

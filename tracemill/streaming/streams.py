@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.functions.scalars import normalized_outcome
-from tracemill.sources.transcripts import lines_of
+from tracemill.sources.tail import TranscriptTail
+from tracemill.sources.transcripts import line_columns
 
 
-def stream_raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of new transcript files as they arrive (ST1): the checkpoint holds what was read. Appended segments are files of their own."""
-    whole = spark.readStream.format("text").option("wholetext", True).load(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return lines_of(whole)
+def stream_raw_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Lines of growing transcript files as they are appended (ST1): file, relation (initial, append, replacement), ordinal, byte_offset, line, source_hash.
+
+    The checkpoint holds how far each file was read and a probe of what was read; see ``sources.tail`` for the options.
+    """
+    spark.dataSource.register(TranscriptTail)
+    return line_columns(spark.readStream.format(TranscriptTail.name()).options(**options).load(path))
 
 
 def dedupe_revisions(stream: DataFrame, ts: str = "ts", delay: str = "1 day", key: str = "revision_id") -> DataFrame:
