@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import FAILED, PASSED, normalize_identity, normalized_outcome
+from tracemill.operators.scans import carried
 
 # Kinds that are observed directly, field names that are structured, and kinds that carry meaning instead.
 DIRECT_KINDS = (
@@ -148,9 +149,9 @@ def session_recovery_links(obs: DataFrame, by: Sequence[str] = ("session_id",),
 def cross_session_recovery_links(obs: DataFrame, by: Sequence[str] = ("project_id",), key: Sequence[str] = ("kind", "operation", "component"), order: Sequence[str] = ("ts", "provider", "session_id", "sequence", "revision_id")) -> DataFrame:
     """Failures whose next success of the key, in the project's order, is in another session.
 
-    A success of the same session ends the failure without a link, so sessions are compared after the success is found.
+    A success of the same session ends the failure without a link, so sessions are compared after the success is found. A key may be larger than a task.
     """
     rows = obs.withColumn("__o", normalized_outcome("outcome")).where("__o <> ''")
-    w = Window.partitionBy(*by, *key).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__s", F.last(F.when(F.col("__o") == "success", F.struct("session_id", "revision_id")), ignorenulls=True).over(w))
+    found = F.when(F.col("__o") == "success", F.struct("session_id", "revision_id"))
+    rows = carried(rows, [*by, *key], order, found, "__s", later=True)
     return rows.where("__o = 'failure' AND __s IS NOT NULL AND __s.session_id <> session_id").withColumn("recovered_session", F.col("__s.session_id")).withColumn("recovered_by", F.col("__s.revision_id")).drop("__o", "__s")

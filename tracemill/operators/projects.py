@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import derived_id, normalize_path, recency_bucket
 from tracemill.operators.facts import cross_session_recovery_links, field, session_recovery_links
+from tracemill.operators.scans import carried
 from tracemill.operators.windows import gaps
 
 PROJECT_ORDER = ("ts", "provider", "session_id", "sequence", "revision_id")
@@ -30,20 +31,23 @@ def witnessed_state(obs: DataFrame, by: Sequence[str] = ("project_id",), order:
 
 
 def structural_phases(obs: DataFrame, by: Sequence[str] = ("project_id",), order: Sequence[str] = PROJECT_ORDER) -> DataFrame:
-    """Changes of branch, version, tag and release (W7). The first branch is where a project starts; the first of the others counts."""
+    """Changes of branch, version, tag and release (W7). The first branch is where a project starts; the first of the others counts.
+
+    A project may be larger than a task.
+    """
     kinds = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (
         ("branch", F.when(F.col("kind").isin("branch", "git_status"), field("branch"))), ("version", F.when(F.col("kind").isin("version", "git_status", "release"), field("version"))),
         ("tag", F.when(F.col("kind").isin("tag", "git_status", "release"), field("tag"))), ("release", F.when(F.col("kind").isin("release", "git_status"), field("release_id"))),
     )))
     rows = obs.withColumn("kv", F.explode(kinds)).where("kv.v IS NOT NULL AND trim(kv.v) <> ''")
     rows = rows.select(*by, *order, F.col("kv.k").alias("phase_kind"), F.col("kv.v").alias("value"))
-    rows = rows.withColumn("previous_value", F.lag("value").over(Window.partitionBy(*by, "phase_kind").orderBy(*order)))
+    rows = carried(rows, [*by, "phase_kind"], order, F.col("value"), "previous_value")
     return rows.where((F.col("previous_value") != F.col("value")) | (F.col("previous_value").isNull() & (F.col("phase_kind") != "branch")))
 
 
 def gap_phases(obs: DataFrame, by: Sequence[str] = ("project_id",), hours: float = 720.0) -> DataFrame:
     """Events after a pause of more than ``hours``."""
-    return gaps(obs, by, "ts", [F.col(c) for c in PROJECT_ORDER[1:]], hours)
+    return gaps(obs, by, "ts", PROJECT_ORDER[1:], hours)
 
 
 def module_ranking(obs: DataFrame, reference: Column, by: Sequence[str] = ("project_id",), path: str = "path", session: str = "session_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import millis
+from tracemill.operators.scans import carried, paged
 
 
 def asof_last(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, value: str, ties_match: bool = True) -> DataFrame:
@@ -54,10 +55,10 @@ def changes(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
     return rows.where((F.col("previous_value") != F.col(value)) | (F.col("previous_value").isNull() & F.lit(first_counts)))
 
 
-def gaps(df: DataFrame, by: Sequence[str], ts: str, order: Sequence[Column], hours: float = 720.0) -> DataFrame:
-    """Rows that follow the one before in their group by more than ``hours`` (W6), with gap_ms."""
-    gap = millis(ts) - millis(F.lag(ts).over(Window.partitionBy(*by).orderBy(F.col(ts), *order)))
-    return df.withColumn("gap_ms", gap).where(F.col("gap_ms") > int(hours * 3_600_000))
+def gaps(df: DataFrame, by: Sequence[str], ts: str, order: Sequence[str], hours: float = 720.0) -> DataFrame:
+    """Rows that follow the one before in their group by more than ``hours`` (W6), with gap_ms. A group may be larger than a task."""
+    rows = carried(df, by, [ts, *order], F.col(ts), "__before").withColumn("gap_ms", millis(ts) - millis("__before"))
+    return rows.drop("__before").where(F.col("gap_ms") > int(hours * 3_600_000))
 
 
 def bounded_select(df: DataFrame, by: Sequence[str], keys: Sequence[str], order: Sequence[Column], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -113,25 +114,9 @@ def page(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int,
 def greedy_pages(df: DataFrame, by: Sequence[str], order: str, size: str, max_items: int, max_bytes: int) -> DataFrame:
     """Pages filled one after another within a group, by items and bytes (W14, W15): ``by``, ``order``, page.
 
-    The fill of a page depends on the one before, so each group is walked once in order; an item over ``max_bytes`` has a
-    page of its own. Only the order and size columns reach Python.
+    An item over ``max_bytes`` has a page of its own, and null sizes count as 0. A group may be larger than a task (``scans.paged``).
     """
-    import pandas as pd
-
-    rows = df.select(*by, order, F.col(size).cast("long").alias("__size"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        pages, page_, items, used = [], 0, 0, 0
-        for size_ in group["__size"].fillna(0):
-            if items and (items >= max_items or used + size_ > max_bytes):
-                page_, items, used = page_ + 1, 0, 0
-            items, used = items + 1, used + size_
-            pages.append(page_)
-        return group.assign(page=pages)[[*by, order, "page"]]
-
-    schema = rows.drop("__size").schema.add("page", "integer")
-    return rows.groupBy(*by).applyInPandas(walk, schema)
+    return paged(df, by, order, size, max_items, max_bytes)
 
 
 def packet(df: DataFrame, by: Sequence[str], order: Sequence[Column], text: str, max_items: int = 500, max_chars: int = 300_000) -> DataFrame:

@@ -103,7 +103,7 @@ def cross_session_recovery(spark, sf):
 
 @query("""SELECT session_id, revision_id, gap_ms FROM (SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY session_id ORDER BY ts, sequence) AS gap_ms FROM obs) g WHERE gap_ms > 172800000""", fx.OBS)
 def phase_gaps(spark, sf):
-    return windows.gaps(fx.obs(spark, sf), ["session_id"], "ts", [F.col("sequence")], 48.0).select("session_id", "revision_id", "gap_ms")
+    return windows.gaps(fx.obs(spark, sf), ["session_id"], "ts", ["sequence"], 48.0).select("session_id", "revision_id", "gap_ms")
 
 
 @query("""SELECT project_id, revision_id, version AS value, previous_value FROM (SELECT *, lag(version) OVER (PARTITION BY project_id ORDER BY ts, session_id, sequence) AS previous_value FROM obs WHERE kind = 'version') v
@@ -382,7 +382,12 @@ def hot_modules(spark, sf):
     return projects.hot_modules_approx(fx.obs(spark, sf), 5)
 
 
-@query()
+PAGES = """sized AS (SELECT session_id, ordinal, row_number() OVER w - 1 AS pos, coalesce(sum(octet_length(encode(text))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, octet_length(encode(text)) AS size FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY ordinal)),
+ jumps AS (SELECT i.session_id, i.pos, least(coalesce(max(j.pos), i.pos) + 1, i.pos + 3) AS following FROM sized i LEFT JOIN sized j ON j.session_id = i.session_id AND j.pos >= i.pos AND j.pos < i.pos + 3 AND j.before + j.size <= i.before + 4000 GROUP BY 1, 2),
+ starts(session_id, pos, page) AS (SELECT session_id, CAST(0 AS BIGINT), 0 FROM sized WHERE pos = 0 UNION ALL SELECT s.session_id, j.following, s.page + 1 FROM starts s JOIN jumps j ON j.session_id = s.session_id AND j.pos = s.pos JOIN sized x ON x.session_id = s.session_id AND x.pos = j.following)"""
+
+
+@query("SELECT s.session_id, s.ordinal, CAST(max(t.page) AS INTEGER) AS page FROM sized s JOIN starts t ON t.session_id = s.session_id AND t.pos <= s.pos GROUP BY 1, 2", "RECURSIVE " + fx.MESSAGES, PAGES)
 def conversation_pages(spark, sf):
     m = fx.messages(spark, sf).withColumn("bytes", F.octet_length("text"))
     return windows.greedy_pages(m, ["session_id"], "ordinal", "bytes", 3, 4000)
