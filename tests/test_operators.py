@@ -250,7 +250,5 @@ def test_long_chains(spark):
     assert got == {("900", "unreachable"), ("901", "unreachable"), ("902", "unreachable"), ("903", "unreachable"), ("903", "missing_parent"), ("150", "duplicate_node")}
     prices = spark.createDataFrame([(i, "x", i - 1 if i else None) for i in range(200)] + [(900, "x", 901), (901, "x", 900), (903, "x", 999)], "snapshot_id long, identity string, supersedes long")
     assert {(r.snapshot_id, r.violation) for r in problems.validate_price_chain(prices).collect()} == {(900, "cycle"), (901, "cycle"), (903, "missing")}
-    deep = nodes.where("node_id < 67 AND sibling_order = 1")
-    with pytest.raises(ValueError):
-        problems.tree_paths(deep)
-    assert problems.tree_paths(deep.where("node_id < 65")).count() == 65
+    paths = {r.node: (r.depth, r.path) for r in problems.tree_paths(nodes.where("sibling_order < 3 AND node_id <> 150"), ["p"]).collect()}
+    assert len(paths) == 150 and paths["149"] == (149, [str(i) for i in range(150)])

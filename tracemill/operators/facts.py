@@ -118,16 +118,16 @@ def join_tool_calls(calls: DataFrame, outputs: DataFrame, by: Sequence[str] = ("
 def attribute_projects(obs: DataFrame, roots: DataFrame, path: str = "path", broadcast_roots: int = 10_000) -> DataFrame:
     """The project whose root holds a path: project_id where one does, owner in (owner, ambiguous, foreign).
 
-    Paths are spread to their ancestors and joined by equality, which costs the depth of a path and not the number of roots;
-    Spark broadcasts the roots where they are few.
+    Distinct paths are spread to their ancestors and joined by equality, which costs the depth of a path and not the number of roots;
+    rows find their owner by their path, so nothing depends on how they are distributed.
     """
     parts = F.split(F.regexp_replace(F.col(path), "/+$", ""), "/")
     depth = F.when(F.startswith(F.col(path), F.lit("/")), F.size(parts)).otherwise(F.lit(0))
     up = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/"))))
-    keyed = obs.withColumn("__id", F.monotonically_increasing_id())
     known = roots.select("project_id", F.when(F.col("root") == "/", "/").otherwise(F.regexp_replace("root", "/+$", "")).alias("__root")).distinct()
-    met = keyed.select("__id", F.explode(up).alias("__root")).join(known, "__root").groupBy("__id").agg(F.countDistinct("project_id").alias("__n"), F.min("project_id").alias("__p"))
-    rows = keyed.drop("project_id").join(met, "__id", "left").drop("__id")
+    met = obs.select(path).where(F.col(path).isNotNull()).distinct().select(F.col(path).alias("__path"), F.explode(up).alias("__root"))
+    met = met.join(known, "__root").groupBy("__path").agg(F.countDistinct("project_id").alias("__n"), F.min("project_id").alias("__p"))
+    rows = obs.drop("project_id").join(met, F.col(path) == F.col("__path"), "left").drop("__path")
     owner = F.when(F.col("__n") == 1, "owner").when(F.col("__n") > 1, "ambiguous").otherwise("foreign")
     return rows.withColumn("owner", owner).withColumn("project_id", F.when(F.col("__n") == 1, F.col("__p"))).drop("__n", "__p")
 

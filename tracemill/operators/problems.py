@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import candidate_id, normalize_identity
-from tracemill.sources.shared import materialize
+from tracemill.operators.graphs import connected_components
+from tracemill.operators.scans import positioned
+from tracemill.sources.shared import discard, materialize
 
 # Replies that only steer a conversation, and envelopes that hold no question.
 CONTROL_REPLY = r"^(?:[0-9]+|[一二三四五六七八九十]|(?:好的)?继续|确认|同意|符合|可以|允许|发布|补吧|好|好的|是|否|不|开始|重试)$"
@@ -47,14 +49,43 @@ def unplaced_turns(turns: DataFrame, nodes: DataFrame, refs: Sequence[str] = ("s
     return turns.join(used, on, "left_anti")
 
 
+def _grams(df: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFrame:
+    """The distinct substrings of ``size`` code points of each row's text; none of shorter texts."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))
+    return df.where(F.length(text) >= size).select(*keys, F.explode(grams).alias("gram"))
+
+
+def contained_texts(questions: DataFrame, nodes: DataFrame, by: Sequence[str] = ("project_id",), question: str = "q", node: str = "n", size: int = 6) -> DataFrame:
+    """Pairs of question and node (``by``, question_id, node_id) whose question contains the node's text, which is not empty.
+
+    An inverted index instead of all pairs: of each node the gram of ``size`` code points that the fewest questions hold is its key, and only questions with that
+    gram are compared with it. A node of which some gram is in no question is out. Shorter nodes are looked up whole among the questions' substrings of their length.
+    Ids are unique within ``by``.
+    """
+    keys = [*by, "question_id"]
+    q, n = questions.select(*keys, F.col(question).alias("__q")), nodes.select(*by, "node_id", F.col(node).alias("__n")).where("__n <> ''")
+    long = n.where(F.length("__n") >= size)
+    held = _grams(q, keys, "__q", size)
+    wanted = _grams(long, [*by, "node_id"], "__n", size)
+    often = held.join(wanted.select(*by, "gram").distinct(), [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(F.count("*").alias("many"))
+    anchors = wanted.join(often, [*by, "gram"], "left").groupBy(*by, "node_id").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("m"))
+    anchors = anchors.where("m.many > 0").select(*by, "node_id", F.col("m.gram").alias("gram"))
+    met = held.join(anchors, [*by, "gram"]).select(*keys, "node_id").join(q, keys).join(long, [*by, "node_id"]).where(F.contains("__q", "__n")).select(*keys, "node_id")
+    short = n.where(F.length("__n") < size)
+    for length in range(1, size):
+        some = short.where(F.length("__n") == length).select(*by, "node_id", F.col("__n").alias("gram"))
+        met = met.unionByName(_grams(q, keys, "__q", length).join(some, [*by, "gram"]).select(*keys, "node_id"))
+    return met
+
+
 def recommend_placement(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where a question belongs (J17): merge with a node of the same text (the first by order), child of the only node
-    whose question it contains, else pending. Containment is looked for within a project only.
+    whose question it contains, else pending. Containment is looked for within a project only. question_id is unique.
     """
     q = questions.withColumn("__q", normalize_identity("question"))
     n = nodes.select("project_id", "node_id", "node_order", normalize_identity("question").alias("__n")).where("__n <> ''")
     same = q.join(n, (q.project_id == n.project_id) & (q["__q"] == n["__n"])).groupBy("question_id").agg(F.min_by("node_id", F.struct("node_order", "node_id")).alias("same_node"))
-    inside = q.join(n, (q.project_id == n.project_id) & F.contains(q["__q"], n["__n"])).groupBy("question_id").agg(F.countDistinct("node_id").alias("held"), F.min("node_id").alias("held_node"))
+    inside = contained_texts(q, n, question="__q", node="__n").groupBy("question_id").agg(F.countDistinct("node_id").alias("held"), F.min("node_id").alias("held_node"))
     rows = q.join(same, "question_id", "left").join(inside, "question_id", "left")
     action = F.when(F.col("same_node").isNotNull(), "merge").when(F.col("held") == 1, "child").otherwise("keep_pending")
     return rows.select(
@@ -70,24 +101,24 @@ def related_problems(milestones: DataFrame, nodes: DataFrame, refs: Sequence[str
     return m.join(n, list(refs)).select("milestone_id", "node_id").distinct()
 
 
-def tree_paths(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id", parent: str = "parent_id", order: str | None = None, max_depth: int = 64) -> DataFrame:
-    """Every node reached from a root: depth, path of ids, and a key that sorts siblings in their order (G1). Raises if nodes stand deeper than ``max_depth``."""
+def tree_paths(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id", parent: str = "parent_id", order: str | None = None) -> DataFrame:
+    """Every node reached from a root, at any depth: depth, path of ids, and a key that sorts siblings in their order (G1).
+
+    Each row holds a piece of its path; a round puts the piece of the row above in front, so pieces double and a chain of n nodes takes log2(n) rounds.
+    Rows behind a missing node vanish, and those whose piece repeats a node, which are in a cycle or behind it.
+    """
     key = F.format_string("%012d", F.col(order).cast("long")) if order else F.col(node).cast("string")
-    base = nodes.select(*by, F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"), key.alias("k"))
-    level = base.where("parent IS NULL").select(*by, "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array("k").alias("sort_key"))
-    out = level
-    for depth in range(1, max_depth + 2):
-        up = level.select(*by, F.col("node").alias("parent"), F.col("path").alias("__p"), F.col("sort_key").alias("__s"))
-        level = base.join(up, [*by, "parent"]).where(~F.array_contains("__p", F.col("node"))).select(
-            *by, "node", F.lit(depth).alias("depth"), F.concat("__p", F.array("node")).alias("path"), F.concat("__s", F.array("k")).alias("sort_key")
-        )
-        level = materialize(level)
-        if level.isEmpty():
-            break
-        if depth > max_depth:
-            raise ValueError(f"tree_paths: nodes below depth {max_depth}")
-        out = out.unionByName(level)
-    return out
+    state = materialize(nodes.select(*by, F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("up"), F.array(F.col(node).cast("string")).alias("path"), F.array(key).alias("sort_key")))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"a.{c}"))
+    while state.where("up IS NOT NULL").limit(1).count():
+        below = state.where("up IS NOT NULL").alias("d").join(state.alias("a"), on & (F.col("d.up") == F.col("a.node"))).select(
+            *(f"d.{c}" for c in (*by, "node")), F.col("a.up").alias("up"), F.concat("a.path", "d.path").alias("path"), F.concat("a.sort_key", "d.sort_key").alias("sort_key")
+        ).where(F.size(F.array_distinct("path")) == F.size("path"))
+        before, state = state, materialize(state.where("up IS NULL").unionByName(below))
+        discard(before)
+    return state.select(*by, "node", (F.size("path") - 1).alias("depth"), "path", "sort_key")
 
 
 def _reached(nodes: DataFrame, by: Sequence[str], node: str, parent: str) -> DataFrame:
@@ -126,15 +157,25 @@ def validate_tree(nodes: DataFrame, by: Sequence[str] = (), node: str = "node_id
 
 
 def order_by_supersession(decisions: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Decisions after all that they supersede, the smallest id first among the free (G3): position, null within or behind a cycle or a
-    missing decision. A project's decisions are ordered together, as each choice depends on the one before.
+    """Decisions after all that they supersede, the smallest id first among the free (G3): position, null within or behind a cycle or a missing decision.
+
+    decisions: by, decision_id string, supersedes array<string>; rows that repeat an id are one decision that supersedes what any of them does.
 
-    decisions: by, decision_id string, supersedes array<string>.
+    Decisions that supersede each other, over any number of steps, are ordered together in a task. Taking the smallest first head of such sequences one after another is
+    the same as sorting all by the largest id so far in their sequence, so a project's positions come from a sort; it may be larger than a task.
     """
     import heapq
 
+    keys, same = [*by, "decision_id"], lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in by]
+    some = F.coalesce("supersedes", F.array().cast("array<string>"))
+    rows = decisions.select(*keys, some.alias("supersedes")).groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("supersedes"))).alias("supersedes"))
+    rows = materialize(rows.withColumn("__n", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    to = rows.select(*by, "__n", F.explode("supersedes").alias("decision_id")).alias("x").join(rows.alias("y"), [*same("x", "y"), F.col("x.decision_id") == F.col("y.decision_id")])
+    parts = connected_components(to.select(F.col("x.__n").alias("a"), F.col("y.__n").alias("b"))).select(F.col("id").alias("__n"), "component")
+    rows = materialize(rows.join(parts, "__n", "left"))
+
     def order(group: pd.DataFrame) -> pd.DataFrame:
-        waits = {d: set(s if s is not None else ()) for d, s in zip(group["decision_id"], group["supersedes"])}
+        waits = dict(zip(group["decision_id"], group["supersedes"]))
         later: dict[str, list[str]] = {}
         for d, s in waits.items():
             for x in s:
@@ -142,22 +183,27 @@ def order_by_supersession(decisions: DataFrame, by: Sequence[str] = ("project_id
         left = {d: len(s) for d, s in waits.items()}
         free = [d for d, n in left.items() if not n]
         heapq.heapify(free)
-        place: dict[str, int] = {}
+        place: dict[str, tuple[int, str]] = {}
+        top = ""
         while free:
             d = heapq.heappop(free)
-            place[d] = len(place)
+            top = max(top, d)
+            place[d] = len(place), top
             for x in later.get(d, ()):
                 left[x] -= 1
                 if not left[x]:
                     heapq.heappush(free, x)
-        return group.assign(position=[place.get(d) for d in group["decision_id"]])[[*by, "decision_id", "position"]].astype({"position": "Int64"})
+        found = [(n, *place[d]) for n, d in zip(group["__n"], group["decision_id"]) if d in place]
+        return pd.DataFrame(found, columns=["__n", "__place", "__top"], dtype=object)
 
-    schema = decisions.select(*by, "decision_id").schema.add("position", "long")
-    return decisions.select(*by, "decision_id", "supersedes").groupBy(*by).applyInPandas(order, schema)
+    together = rows.where("component IS NOT NULL").select("component", "__n", "decision_id", "supersedes").groupBy("component").applyInPandas(order, "__n long, __place long, __top string")
+    alone = rows.where("component IS NULL AND size(supersedes) = 0").select("__n", F.lit(0).cast("long").alias("__place"), F.col("decision_id").alias("__top"))
+    ordered = positioned(rows.join(together.unionByName(alone), "__n").select(*keys, "__top", "__place"), by, ["__top", "__place"])
+    return decisions.select(*keys).alias("d").join(ordered.alias("o"), [*same("d", "o"), F.col("d.decision_id") == F.col("o.decision_id")], "left").select(*(f"d.{c}" for c in keys), "o.position")
 
 
-def validate_session_chain(reports: DataFrame, by: Sequence[str] = ("project_id",), rounds: int = 64) -> DataFrame:
-    """Per project: heads, tails, one-sided links, reached sessions; valid if one chain holds all (G4). reports: by, session_id, previous_id, next_id.
+def validate_session_chain(reports: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Per project: heads, tails, one-sided links, sessions that a head reaches; valid if one chain holds all (G4). reports: by, session_id, previous_id, next_id.
 
     Distances from the head double each round, so a chain of n sessions takes log2(n) joins.
     """
@@ -166,19 +212,10 @@ def validate_session_chain(reports: DataFrame, by: Sequence[str] = ("project_id"
     fore = links.select(*by, F.col("session_id").alias("next_id"), F.col("previous_id").alias("__fore"))
     checked = links.join(back, [*by, "previous_id"], "left").join(fore, [*by, "next_id"], "left")
     one_sided = (F.col("previous_id").isNotNull() & ~F.col("__back").eqNullSafe(F.col("session_id"))) | (F.col("next_id").isNotNull() & ~F.col("__fore").eqNullSafe(F.col("session_id")))
-    # up: the ancestor reached so far, null once the head has been passed
-    state, waiting = links.select(*by, "session_id", F.col("previous_id").alias("up")), -1
-    for _ in range(rounds):
-        hop = state.select(*by, F.col("session_id").alias("up"), F.col("up").alias("__up"))
-        state = materialize(state.join(hop, [*by, "up"], "left").select(*by, "session_id", F.when(F.col("up").isNotNull(), F.col("__up")).alias("up")))
-        left = state.where("up IS NOT NULL").count()
-        if left in (0, waiting):  # none, or only those behind a cycle or a missing session
-            break
-        waiting = left
-    reached = state.groupBy(*by).agg(F.count_if(F.col("up").isNull()).alias("reached"))
+    reached = _reached(links, by, "session_id", "previous_id").distinct().groupBy(*by).agg(F.count("*").alias("reached"))
     got = checked.groupBy(*by).agg(
         F.count("*").alias("sessions"), F.count_if(F.col("previous_id").isNull()).alias("heads"), F.count_if(F.col("next_id").isNull()).alias("tails"), F.count_if(one_sided).alias("one_sided")
-    ).join(reached, list(by))
+    ).join(reached, list(by), "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     return got.withColumn("valid", (F.col("heads") == 1) & (F.col("tails") == 1) & (F.col("one_sided") == 0) & (F.col("reached") == F.col("sessions")))
 
 

@@ -66,10 +66,29 @@ def module_ranking(obs: DataFrame, reference: Column, by: Sequence[str] = ("proj
     return mods.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc(path))).cast("long"))
 
 
+def module_sketches(obs: DataFrame, by: Sequence[str] = ("project_id",), path: str = "path", tracked: int = 10_000) -> DataFrame:
+    """A bounded sketch of the most frequent modules of each group, to be stored and merged later (A12): by, sketch, rows, tracked."""
+    rows = obs.where(F.col(path).isNotNull()).groupBy(*by).agg(F.expr(f"approx_top_k_accumulate({path}, {tracked})").alias("sketch"), F.count("*").alias("rows"))
+    return rows.withColumn("tracked", F.lit(tracked))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("project_id",), tracked: int = 10_000) -> DataFrame:
+    """Sketches of parts of the data put together by group, as if made of all rows; all were made with ``tracked``."""
+    return sketches.groupBy(*by).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("rows").alias("rows"), F.min("tracked").alias("tracked"))
+
+
+def sketched_modules(sketches: DataFrame, k: int = 20, by: Sequence[str] = ("project_id",), path: str = "path") -> DataFrame:
+    """The ``k`` most frequent modules of each sketch: estimate and error, with estimate - error <= true count <= estimate.
+
+    A sketch of m places for counts is off by at most 3.5 rows / m (Misra and Gries as refined by Anderson and others), and has places for at least tracked / 0.75.
+    """
+    rows = sketches.select(*by, "rows", "tracked", F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("m"))
+    return rows.select(*by, F.col("m.item").alias(path), F.col("m.count").alias("estimate"), F.floor(3.5 * 0.75 * F.col("rows") / F.col("tracked")).cast("long").alias("error"))
+
+
 def hot_modules_approx(obs: DataFrame, k: int = 20, by: Sequence[str] = ("project_id",), path: str = "path", tracked: int = 10_000) -> DataFrame:
-    """The most frequent modules by a bounded sketch: item and estimated count."""
-    top = obs.where(F.col(path).isNotNull()).groupBy(*by).agg(F.expr(f"approx_top_k({path}, {k}, {tracked})").alias("t"))
-    return top.select(*by, F.explode("t").alias("m")).select(*by, F.col("m.item").alias(path), F.col("m.count").alias("estimate"))
+    """The most frequent modules of each group by a bounded sketch, with the bound of its error."""
+    return sketched_modules(module_sketches(obs, by, path, tracked), k, by, path)
 
 
 def distinct_sessions_per_path(obs: DataFrame, by: Sequence[str] = ("project_id",), path: str = "path", session: str = "session_id", approximate: bool = False) -> DataFrame:

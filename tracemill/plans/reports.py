@@ -347,6 +347,38 @@ def tree_paths(spark, sf):
     return problems.tree_paths(_tree(spark, sf)).select("node", "depth", F.array_join("path", "/").alias("path"))
 
 
+DECISIONS = """decisions AS (SELECT c_custkey % 3 AS project_id, CAST(c_custkey AS BIGINT) AS id, (c_custkey // 3) % 7 AS chain, c_custkey // 21 // 5 AS part FROM customer),
+ placed AS (SELECT *, max(id) OVER (PARTITION BY project_id, chain, part) AS top, bool_or(id % 50 = 0) OVER (PARTITION BY project_id, chain, part ORDER BY id DESC) AS lost FROM decisions)"""
+
+
+@query("SELECT project_id, id, CASE WHEN NOT lost THEN row_number() OVER (PARTITION BY project_id, lost ORDER BY top, id DESC) - 1 END AS position FROM placed", DECISIONS)
+def supersession_order(spark, sf):
+    """Customers as decisions: each supersedes the next of its chain, chains end after five, and every 50th waits for a decision that is missing."""
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+    part = F.floor(F.col("id") / 105)
+    name = lambda i: F.format_string("d%012d", i)
+    known = c.select(F.col("id").alias("other"))
+    c = c.join(known, F.col("other") == F.col("id") + 21, "left")
+    following = F.when(F.floor(F.col("other") / 105) == part, name(F.col("other")))
+    d = c.select((F.col("id") % 3).alias("project_id"), name(F.col("id")).alias("decision_id"), F.array_compact(F.array(following, F.when(F.col("id") % 50 == 0, "gone"))).alias("supersedes"))
+    return problems.order_by_supersession(d).select("project_id", F.substring("decision_id", 2, 12).cast("long").alias("id"), "position")
+
+
+PLACED = r"""q AS (SELECT session_id * 1000 + ordinal AS question_id, session_id % 4 AS project_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM messages),
+ n AS (SELECT session_id * 1000 + ordinal AS node_id, session_id % 4 AS project_id, lower(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g'))) AS n FROM messages WHERE role = 'user' AND session_id % 3 <> 1),
+ same AS (SELECT question_id, min(node_id) AS node FROM q JOIN n ON q.project_id = n.project_id AND q.q = n.n WHERE n.n <> '' GROUP BY 1),
+ inside AS (SELECT question_id, count(DISTINCT node_id) AS held, min(node_id) AS node FROM q JOIN n ON q.project_id = n.project_id AND contains(q.q, n.n) WHERE n.n <> '' GROUP BY 1)"""
+
+
+@query("""SELECT question_id, CASE WHEN same.node IS NOT NULL THEN 'merge' WHEN held = 1 THEN 'child' ELSE 'keep_pending' END AS action, coalesce(same.node, CASE WHEN held = 1 THEN inside.node END) AS target
+FROM q LEFT JOIN same USING (question_id) LEFT JOIN inside USING (question_id)""", fx.MESSAGES, PLACED)
+def placements(spark, sf):
+    """All messages as questions, and the first sentences of what users say in two thirds of the sessions as nodes."""
+    m = fx.messages(spark, sf).withColumn("project_id", F.col("session_id") % 4).withColumn("id", F.col("session_id") * 1000 + F.col("ordinal"))
+    nodes = m.where("role = 'user' AND session_id % 3 <> 1").select("project_id", F.col("id").alias("node_id"), F.col("id").alias("node_order"), F.substring_index("text", ".", 1).alias("question"))
+    return problems.recommend_placement(m.select("project_id", F.col("id").alias("question_id"), F.col("text").alias("question")), nodes).select("question_id", "action", "target")
+
+
 @query("SELECT CAST(s.s_suppkey AS BIGINT) AS snapshot_id, count(*) OVER (PARTITION BY s_nationkey) = 1 AS is_unique FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM supplier n WHERE n.s_suppkey = s.s_suppkey + 25)")
 def price_leaves(spark, sf):
     s = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("snapshot_id"), F.col("s_nationkey").alias("identity"), F.when(F.col("s_suppkey") >= 25, F.col("s_suppkey") - 25).alias("supersedes"))
@@ -377,9 +409,13 @@ def name_entropy(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", F.round(shannon_entropy("p_name"), 6).alias("bits"))
 
 
-@query()
+@query("SELECT project_id, path, count(*) AS n, true AS within FROM obs GROUP BY 1, 2", fx.OBS)
 def hot_modules(spark, sf):
-    return projects.hot_modules_approx(fx.obs(spark, sf), 5)
+    """Every module with its count, and whether the sketch, merged from one a session, is within its error."""
+    o = fx.obs(spark, sf)
+    sketched = projects.sketched_modules(projects.merge_sketches(projects.module_sketches(o, ["project_id", "session_id"])), 1000)
+    true = o.groupBy("project_id", "path").agg(F.count("*").alias("n"))
+    return true.join(sketched, ["project_id", "path"]).select("project_id", "path", "n", ((F.col("estimate") - F.col("error") <= F.col("n")) & (F.col("n") <= F.col("estimate"))).alias("within"))
 
 
 PAGES = """sized AS (SELECT session_id, ordinal, row_number() OVER w - 1 AS pos, coalesce(sum(octet_length(encode(text))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, octet_length(encode(text)) AS size FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY ordinal)),

@@ -192,9 +192,21 @@ def union_providers(spark: SparkSession, frames: dict[str, DataFrame | None], re
 
 
 def frozen_boundary(lines: DataFrame, at: Column | None = None) -> DataFrame:
-    """How far each file may be read: lines, bytes and a hash of the line hashes up to there."""
-    rows = lines if at is None else lines.where(F.col("ordinal") <= at)
-    return rows.groupBy("file").agg(
-        F.max("ordinal").alias("lines"), F.max("byte_offset").alias("last_offset"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "source_hash"))), lambda x: x["source_hash"]), ""), 256).alias("prefix_hash"),
-    )
+    """How far each file may be read: lines, the offset of the last one, and a hash of all line hashes with their ordinals up to there.
+
+    The hash is made of sums over lines, so parts of a file are hashed apart, in any order and number, and added (``boundary_parts``).
+    """
+    return merge_boundaries(boundary_parts(lines if at is None else lines.where(F.col("ordinal") <= at)))
+
+
+def boundary_parts(lines: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Sums that stand for the lines of a part of a file: eight numbers of 32 bits of SHA-256(ordinal:source_hash), each added up. Good for 2 ** 31 lines."""
+    rows = lines.withColumn("__h", F.sha2(F.concat_ws(":", "ordinal", "source_hash"), 256))
+    lanes = [F.sum(F.conv(F.substring("__h", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"lane{k}") for k in range(8)]
+    return rows.groupBy(*by).agg(F.max("ordinal").alias("lines"), F.max("byte_offset").alias("last_offset"), *lanes)
+
+
+def merge_boundaries(parts: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Boundaries of whole files from those of their parts, which share no line."""
+    lanes = [F.sum(f"lane{k}") for k in range(8)]
+    return parts.groupBy(*by).agg(F.max("lines").alias("lines"), F.max("last_offset").alias("last_offset"), F.sha2(F.concat_ws(":", *(x.cast("string") for x in lanes)), 256).alias("prefix_hash"))
