@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.functions.scalars import normalized_outcome
 from tracemill.sources.tail import TranscriptTail
 from tracemill.sources.transcripts import line_columns
+from tracemill.streaming.stateful import CLASSES, Debouncer, RecoveryLinker, UsageMeter, keyed
 
 
 def stream_raw_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -43,81 +42,56 @@ def stream_pairs(calls: DataFrame, outputs: DataFrame, bound: str = "1 hour", de
     return c.join(o, on, "leftOuter").drop("o_session", "o_call")
 
 
-def stream_session_usage(stream: DataFrame) -> DataFrame:
-    """Running usage of each session and model (ST2), in update mode.
+def stream_session_usage(stream: DataFrame, held: int = 256, ttl_ms: int | None = None) -> DataFrame:
+    """Running usage of each session and model (ST2), in update mode: the totals of a session are given anew with each batch that has rows of it.
 
-    stream: session_id, ordinal, model, input_tokens, output_tokens, total_tokens, cumulative_total (null where absent). A row with
-    only a total that repeats the last accepted cumulative is a heartbeat and adds nothing. Rows of a micro-batch are taken by ordinal; a row
-    behind the last ordinal taken is late and counted as such.
+    stream: session_id, ordinal, model, last and cumulative (structs of token classes, or null), as ``accounting.usage_rows`` takes them; or input_tokens,
+    output_tokens, total_tokens and cumulative_total. Rows count in the order of their ordinals, however batches are cut: the ``held`` highest of a session stay in state and
+    are counted anew when a row comes before them. Rows before those, and rows that repeat an ordinal, are not counted but reported: late (rows) and late_tokens (of those
+    that repeat nothing held). State of a session is forgotten after ``ttl_ms`` without rows, if set.
     """
-    out = "session_id string, model string, input_tokens long, output_tokens long, total_tokens long, heartbeats long, late long"
-    state_schema = "last_ordinal long, model string, last_cumulative long, models string, heartbeats long, late long"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        ordinal, model, cumulative, models, beats, late = state.get if state.exists else (-1, "unknown", None, "{}", 0, 0)
-        sums: dict[str, list[int]] = json.loads(models)
-        touched = set()
-        for row in pd.concat(list(frames)).sort_values("ordinal", kind="stable").itertuples():
-            if row.ordinal <= ordinal:
-                late += 1
-                continue
-            ordinal = row.ordinal
-            if isinstance(row.model, str) and row.model.strip():
-                model = row.model
-            if pd.isna(row.total_tokens):
-                continue
-            given = None if pd.isna(row.cumulative_total) else int(row.cumulative_total)
-            i, o, t = (0 if pd.isna(x) else int(x) for x in (row.input_tokens, row.output_tokens, row.total_tokens))
-            if t > 0 and i == 0 and o == 0:
-                beats += int(given is not None and given == cumulative)
-                continue
-            if min(i, o, t) < 0 or t != i + o:
-                continue
-            cumulative = given
-            sums[model] = [a + b for a, b in zip(sums.get(model, [0, 0, 0]), (i, o, t))]
-            touched.add(model)
-        state.update((int(ordinal), model, cumulative, json.dumps(sums), int(beats), int(late)))
-        yield pd.DataFrame([(key[0], m, *sums[m], beats, late) for m in sorted(touched)], columns=["session_id", "model", "input_tokens", "output_tokens", "total_tokens", "heartbeats", "late"])
-
-    return stream.groupBy("session_id").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.NoTimeout)
-
-
-def stream_recovery_links(stream: DataFrame, max_open: int = 4096) -> DataFrame:
-    """Failures linked to the next success of their project and key, as it arrives (ST3), in append mode.
-
-    stream: project_id, session_id, kind, operation, component, sequence, ts, revision_id, outcome. Links within a session are kept silent, as the batch form
-    does. At most ``max_open`` failures of a key wait; the oldest beyond it are given out unlinked, so none is lost.
+    if "last" not in stream.columns:
+        i, o, t = (F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens", "total_tokens"))
+        zero = F.lit(0).cast("long")
+        kinds = lambda *x: F.struct(*(v.cast("long").alias(c) for c, v in zip(CLASSES, x)))
+        stream = stream.withColumn("last", F.when(F.col("total_tokens").isNotNull(), kinds(i, zero, zero, o, zero, t)))
+        stream = stream.withColumn("cumulative", F.when(F.col("cumulative_total").isNotNull(), kinds(zero, zero, zero, zero, zero, F.col("cumulative_total"))))
+    out = "session_id string, model string, " + ", ".join(f"{c} long" for c in CLASSES) + ", heartbeats long, invalid_rows long, late long, late_tokens long"
+    classes = [F.col(f"{x}.{c}").cast("long").alias(f"{p}_{c}") for x, p in (("last", "u"), ("cumulative", "c")) for c in CLASSES]
+    rows = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("model").cast("string").alias("model"), F.col("last").isNotNull().alias("used"), F.col("cumulative").isNotNull().alias("known"), *classes)
+    return keyed(rows, ["session_id"], UsageMeter(held, ttl_ms), out, "update", "ProcessingTime" if ttl_ms else "None")
+
+
+def stream_recovery_links(stream: DataFrame, max_open: int | None = 4096, delay: str = "0 seconds", idle_ms: int = 60_000, ttl_ms: int | None = None) -> DataFrame:
+    """Failures linked to the next success of their project and key (ST3), in append mode: project_id, failure, recovered_by, recovered_session, state.
+
+    stream: project_id, session_id, kind, operation, component, sequence, ts, revision_id, outcome, and provider if there are several. Links within a session are kept
+    silent, as the batch form does. A row waits until one of its key is newer by ``delay``, or none came for ``idle_ms``, and rows are then taken in the
+    project's order: the links are those of the batch form as long as rows are late by less. Later ones are given out with state late. At most ``max_open``
+    failures of a key wait; the oldest beyond it are given out with state unlinked, so none is lost.
     """
-    out = "project_id string, failure string, recovered_by string, recovered_session string"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        waiting = json.loads(state.get[0]) if state.exists else []
-        found = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "session_id", "sequence", "revision_id"]).itertuples():
-            if row.result == "failure":
-                waiting.append([row.session_id, row.revision_id])
-                if len(waiting) > max_open:
-                    found.append((key[0], waiting.pop(0)[1], None, None))
-            else:
-                found += [(key[0], rev, row.revision_id, row.session_id) for session, rev in waiting if session != row.session_id]
-                waiting = []
-        state.update((json.dumps(waiting),))
-        yield pd.DataFrame(found, columns=["project_id", "failure", "recovered_by", "recovered_session"])
-
     rows = stream.withColumn("result", normalized_outcome("outcome")).where("result <> ''").withColumn("__key", F.concat_ws(":", "kind", "operation", "component"))
-    rows = rows.select(F.col("project_id").cast("string").alias("project_id"), "__key", F.col("session_id").cast("string").alias("session_id"), "sequence", "ts", F.col("revision_id").cast("string").alias("revision_id"), "result")
-    return rows.groupBy("project_id", "__key").applyInPandasWithState(step, out, "waiting string", "append", GroupStateTimeout.NoTimeout)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    provider = text("provider") if "provider" in stream.columns else F.lit("").alias("provider")
+    rows = rows.select(text("project_id"), "__key", provider, text("session_id"), F.coalesce("sequence", F.lit(0)).cast("long").alias("sequence"), F.unix_micros("ts").alias("at"), text("revision_id"), "result").where("at IS NOT NULL")
+    micros = stream.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {delay}) AS d").first()["d"]
+    return keyed(rows, ["project_id", "__key"], RecoveryLinker(micros, idle_ms, max_open, ttl_ms), "project_id string, failure string, recovered_by string, recovered_session string, state string", "append", "ProcessingTime" if micros or ttl_ms else "None")
 
 
-def debounce(stream: DataFrame, entity: str = "entity", ts: str = "ts", gap: str = "750 milliseconds", delay: str = "10 seconds") -> DataFrame:
-    """The last event of each burst of an entity (ST5): each event pushes the end of its session window by ``gap``."""
-    rows = stream.withWatermark(ts, delay) if stream.isStreaming else stream
-    w = F.session_window(ts, gap)
-    return rows.groupBy(entity, w.alias("w")).agg(F.max_by("hash", ts).alias("hash"), F.max(ts).alias("last_at"), F.count("*").alias("events")).select(entity, "hash", "last_at", "events", F.col("w.end").alias("ready_at"))
+def debounce(stream: DataFrame, entity: str = "entity", ts: str = "ts", gap: str = "750 milliseconds") -> DataFrame:
+    """The last event of each burst of an entity (ST5): entity, hash, last_at, events, ready_at. Each event pushes the end of its burst by ``gap``.
+
+    On a stream a timer ends the burst, without a further event. A boolean column ``written`` may mark rows that tell what was written here:
+    events with the hash last written are ignored. On a table, bursts are session windows.
+    """
+    if not stream.isStreaming:
+        rows = stream.groupBy(entity, F.session_window(ts, gap).alias("w")).agg(F.max_by("hash", ts).alias("hash"), F.max(ts).alias("last_at"), F.count("*").alias("events"))
+        return rows.select(entity, "hash", "last_at", "events", F.col("w.end").alias("ready_at"))
+    written = F.coalesce("written", F.lit(False)) if "written" in stream.columns else F.lit(False)
+    millis = stream.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {gap}) AS d").first()["d"]
+    rows = stream.select(F.col(entity).cast("string").alias("entity"), "hash", F.unix_micros(ts).alias("at"), written.alias("written"))
+    found = keyed(rows, ["entity"], Debouncer(millis), "entity string, hash string, at long, events long, deadline long", "append", "ProcessingTime")
+    return found.select(F.col("entity").alias(entity), "hash", F.timestamp_micros("at").alias("last_at"), "events", F.timestamp_millis("deadline").alias("ready_at"))
 
 
 def without_echo(events: DataFrame, written: DataFrame, entity: str = "entity") -> DataFrame:
