@@ -76,3 +76,26 @@ def test_deep_nesting():
     for tag in ("div", "span", "article", "div class=comments"):
         assert extract(f"<{tag}>" * 100_000 + "deep", None) in ("deep", "")
     assert time.process_time() - started < 60
+
+
+def test_sentences_and_headlines_stay():
+    for page, want in [
+        ("<article><p>before <span class='menu-item'>dish</span> after</p></article>", "before dish after"), ("<article><p class='ad-free-note'>note</p><p>x y z</p></article>", "note x y z"),
+        ("<article><header><h1>Headline</h1><p>By line</p></header><p>body text</p></article>", "Headline By line body text"),
+        ("<article><header>meta</header><h1>T</h1><p>body</p></article>", "T body"), ("<body><header><h1>Site</h1></header><article><p>body</p></article></body>", "body"),
+        ("<article><p>one</p><span class='advert'>Buy</span><p>two</p></article>", "one two"),
+    ]:
+        assert extract(page, None) == want, page
+
+
+def test_broken_markup_takes_linear_time():
+    for unit in ('<a "', "<a ", '<a ">"', "<a<a", "<div class=\"x\" <b '>", "<!-", '</ "', "<p title='", "<article><header>"):
+        for tail in ("", ">"):
+            began = time.process_time()
+            extract(unit * (500_000 // len(unit)) + tail, None)
+            assert time.process_time() - began < 4, unit
+
+
+def test_quotes_in_tags():
+    assert extract("<p title='a > b'>one</p><p title=\"x'>two</p>", None) == "one two"
+    assert extract("<p title=\"a>one</p>", None) == "one" and extract("a < b > c <d", None) == "a < b > c <d"

@@ -7,7 +7,8 @@ article or main around it, and further to outer ones while they add more text th
 body, if it does so. A page that has no text there uses the path of its own best container.
 
 Edge cases: null and empty html give the empty text; a null or hostless url votes under the empty host; broken markup
-(unclosed or stray tags, bare ``<``) is read as browsers do it, roughly; ties of votes go to the path with more text, then
+(unclosed or stray tags and quotes, bare ``<``) is read as browsers do it, roughly, in linear time; inline elements of a sentence and a header that holds the article's
+h1 stay, whatever their class; ties of votes go to the path with more text, then
 the smaller path; elements marked as outside, and forms, that wrap the article are inside; a page of 100,000 nested elements takes
 seconds, not minutes; repeated rows vote and are returned each; empty tables give empty tables; extra columns are ignored.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -26,10 +28,9 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import materialize, slices
 
-_TAG = re.compile(
-    r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|[!?/][^>]*>)", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
+_HEADLINES = re.compile(r"<(h1|/header)(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -49,9 +50,11 @@ OUTSIDE_WORDS = frozenset(
     "breadcrumb breadcrumbs pagination pager popup modal overlay search toolbar widget copyright complementary contentinfo form alert".split()
 )
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
-NOT_WORDS = frozenset("has with no without".split())
+NOT_WORDS = frozenset("has with no without free".split())
 NEVER_OUTSIDE = frozenset(("html", "body", "main", "article"))
 LIKELY_WORDS = frozenset("article content entry main post story text articlebody".split())
+#: Elements whose inline children are text, whatever their class says.
+SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
 CLOSES = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"),
@@ -61,6 +64,55 @@ SCOPES = frozenset("table td th html".split())
 LISTS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",)}
 
 
+class Tags:
+    """The tags of a page in order, in one forward pass whose time is linear in the page, however broken its markup is.
+
+    A tag ends at the first ``>`` outside of quotes, or, where none comes, at the first one. What a scan for the former has found out about a place is remembered:
+    a later scan that gets there stops.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # quotes outside of quotes from which no tag ends
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``; there is one after it."""
+        page, passed, start = self.page, [], at
+        while m := _SPECIAL.search(page, at):
+            place = m.start()
+            if page[place] == ">":
+                return place
+            if place in self.dead:
+                break
+            passed.append(place)
+            close = page.find(page[place], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return page.find(">", start)
+
+    def following(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """Of the next tag from ``at``: where it begins and ends, its name (null for comments and the like), whether it closes, its attributes. At the end: the page's size."""
+        page, size = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, None, False, ""
+            if start > self.last:  # only a comment could follow
+                at = page.find("<!--", start)
+                if at < 0:
+                    break
+                continue
+            if m := _NAME.match(page, start + 1):
+                end = self._end(m.end())
+                return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+            if page[start + 1] in "!?/":
+                return start, page.find(">", start) + 1, None, False, ""
+            at = start + 1
+        return size, size, None, False, ""
+
+
 class Node:
     """An open or closed element: the number of its generalised path, and blocks first..last of the page (last exclusive)."""
 
@@ -81,7 +133,7 @@ class Node:
         return "".join("/" + x for x in reversed(steps))
 
 
-def _open(tag: str, attrs: str, parent: Node, first: int, numbers: dict[tuple[int, str], int], wrapper: bool) -> Node:
+def _open(tag: str, attrs: str, parent: Node, first: int, numbers: dict[tuple[int, str], int], wrapper: bool, inside: bool) -> Node:
     names, words = [], set()
     hidden = False
     if attrs and not attrs.isspace():
@@ -99,7 +151,8 @@ def _open(tag: str, attrs: str, parent: Node, first: int, numbers: dict[tuple[in
     marked = OUTSIDE_WORDS & words
     # 2: marked by comment words, 1: by others or a form, 0: not
     soft = 0 if tag in ("html", "body") else 2 if COMMENT_WORDS & words else 1 if marked or tag == "form" else 0
-    outside = parent.outside or tag in OUTSIDE or hidden or bool(soft) and tag not in NEVER_OUTSIDE and not wrapper
+    # inside: part of a sentence, or a header with the article's headline
+    outside = parent.outside or tag in OUTSIDE and not (inside and tag == "header") or hidden or bool(soft) and tag not in NEVER_OUTSIDE and not wrapper and not inside
     step = ".".join([tag, *names])
     bonus = 1.5 if tag in ("article", "main") else 1.2 if LIKELY_WORDS & words else 1.0
     clean = not marked and (tag in ("article", "main", "h1") or bool(LIKELY_WORDS & words))
@@ -207,19 +260,24 @@ def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], l
                 return 0
         return 0
 
-    at, size = 0, len(page)
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+    at, size, tags = 0, len(page), Tags(page)
+    headlines: list[tuple[int, bool]] | None = None  # places of h1 and of ends of headers
+
+    def titled(place: int) -> bool:
+        """Whether a header that begins there holds the headline."""
+        nonlocal headlines
+        if headlines is None:
+            headlines = [(m.start(), m[1].lower() == "h1") for m in _HEADLINES.finditer(page)]
+        k = bisect(headlines, (place, True))
+        return k < len(headlines) and headlines[k][1]
+
+    while at < size:
+        start, end, tag, closes, attrs = tags.following(at)
+        text(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
+        if closes:
             if tag == "p" and not find(("p",), KEEPS_P):
                 flush()
             elif tag == "br":
@@ -244,14 +302,14 @@ def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], l
                 close(i)
         if tag in VOID:
             continue
-        attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"] or ""
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
-            at = end.start() if end else size
+            m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            at = m.start() if m else size
             stop = page.find(">", at)
             at = size if stop < 0 else stop + 1
             continue
-        node = _open(tag, attrs, stack[-1], len(blocks), numbers, all_ or len(nodes) in wrappers)
+        inside = tag not in BLOCKS and any([opened[x] for x in SENTENCES]) or tag == "header" and stack[-1].article is not None and titled(start)
+        node = _open(tag, attrs, stack[-1], len(blocks), numbers, all_ or len(nodes) in wrappers, inside)
         if node.outside and not stack[-1].outside and tag in BLOCKS | OUTSIDE:
             flush()
             node.first = len(blocks)
