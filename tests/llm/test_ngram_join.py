@@ -57,3 +57,16 @@ def test_repeats_and_empty(spark):
     got = ngram_components(frame).collect()
     assert len(got) == 5 and all(r.component_id == 1 for r in got)
     assert ngram_components(frame.limit(0)).count() == 0
+
+
+def test_rows_without_ids_bridge(spark):
+    """Two documents that are alike only through a row without an id are one component, in both parameters."""
+    w = [f"w{i}" for i in range(200)]
+    a, b, middle = w[:190] + ["x"] * 0, w[10:], w
+    for num in (85, 90):
+        rows = [(1, " ".join(a)), (9, " ".join(b)), (None, " ".join(middle)), (None, " ".join(middle)), (None, "quite another text without any partner"), (None, None), (7, "")]
+        got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=4, num=num, den=100).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (7, 7), (9, 1)]
+    near = [(1, " ".join(w)), (None, " ".join(w[:198]))]
+    got = ngram_components(spark.createDataFrame(near, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    assert [r.component_id for r in got] == [1, 1]

@@ -77,7 +77,7 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(rows: DataFrame, n: int, limits: Limits) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, prefix): the class of each document's set and its prefix by hash."""
+    """(doc_id, key, own, n_shingles, c1, c2, prefix): the class of each document's set and its prefix by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -90,11 +90,11 @@ def _sets(rows: DataFrame, n: int, limits: Limits) -> DataFrame:
                 c2.append(b)
                 prefix.append(grams[: limits.prefix(len(grams))].tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.binary())],
-                names=["doc_id", "n_shingles", "c1", "c2", "prefix"],
+                [*(batch.column(c) for c in ("doc_id", "key", "own")), pa.array(sizes, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.binary())],
+                names=["doc_id", "key", "own", "n_shingles", "c1", "c2", "prefix"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles int, c1 long, c2 long, prefix binary")
+    return rows.mapInArrow(run, "doc_id long, key long, own boolean, n_shingles int, c1 long, c2 long, prefix binary")
 
 
 def _candidates(sets: DataFrame, limits: Limits, hot_sample: int, hot_share: float) -> DataFrame:
@@ -209,7 +209,7 @@ def _payload(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     bits.append(sketch(grams, SKETCH_BITS))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "payload", "n", "sketch"])
 
-    texts = only_wanted(rows, wanted, "doc_id").join(wanted, "doc_id").select("id", "doc_id", "__text", F.xxhash64("__text").alias("h")).dropDuplicates(["doc_id", "id", "h"])
+    texts = only_wanted(rows.drop("doc_id"), wanted, "key").join(wanted, ["key", "own"]).select("id", "key", "own", "__text", F.xxhash64("__text").alias("h")).dropDuplicates(["key", "own", "id", "h"])
     return texts.select("id", "__text").mapInArrow(run, "id long, payload binary, n int, sketch binary")
 
 
@@ -245,14 +245,16 @@ def ngram_components(
     """
     limits = Limits(num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
+    # rows without an id are found again by the hash of their text
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("__text"))).withColumn("own", F.col("doc_id").isNotNull())
     sets = materialize(_sets(rows, n, limits))
-    owners = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"))
+    owners = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.when(~F.col("own"), F.col("key"))).alias("other"))
     owners = materialize(owners)
     candidates = _candidates(sets, limits, hot_sample, hot_share)
     candidates = materialize(candidates)
 
     def payload_of(ids: DataFrame) -> DataFrame:
-        return _payload(rows, materialize(ids.join(owners.select(F.col("c1").alias("id"), F.col("first").alias("doc_id")), "id")), n)
+        return _payload(rows, materialize(ids.join(owners.select(F.col("c1").alias("id"), F.coalesce("first", "other").alias("key"), F.col("first").isNotNull().alias("own")), "id")), n)
 
     linked = link(
         candidates, payload_of, lambda x: np.frombuffer(x, np.uint64), lambda x, y: similar(x, y, num, den), num, den,
@@ -263,6 +265,6 @@ def ngram_components(
     discard(candidates)
     least = owners.join(linked, "c1").groupBy("component").agg(F.min("first").alias("component_id"))
     known = materialize(
-        owners.join(linked.join(rehashed(least, "component"), "component"), "c1", "left").select("c1", "c2", F.coalesce("component_id", "first").alias("component_id"))
+        owners.drop("other").join(linked.join(rehashed(least, "component"), "component"), "c1", "left").select("c1", "c2", F.coalesce("component_id", "first").alias("component_id"))
     )
     return sets.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "c1", "c2").join(known, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
