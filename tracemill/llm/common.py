@@ -1,13 +1,10 @@
 """Helpers that the operators of this subpackage share.
 
-Shared folders: intermediate tables are Parquet under the folder that the session names in
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is made and set.
+Intermediate tables and connected components come from the library: ``materialize`` writes under the folder in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.graphs import connected_components, rehashed
+from tracemill.sources.shared import discard, materialize, shared_dir
+
+__all__ = ["connected_components", "discard", "materialize", "rehashed", "shared_dir"]
+
 #: Text handed to numpy at once: bounds a worker's memory whatever the Arrow batches hold.
 SLICE_BYTES = 1 << 20
 _INVERSE_BASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,35 +30,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir. Without that setting a cluster is refused: its machines share no temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*written: DataFrame | None) -> None:
-    """Delete tables that ``materialize`` wrote and that no later result reads."""
-    for df in written:
-        if df is not None:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
     """The ``keep`` columns and the text, which is not sent twice if it is kept, and the name that it has there."""
     return (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
@@ -174,11 +147,6 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return last[keep]
 
 
-def rehashed(grouped: DataFrame, key: str = "w") -> DataFrame:
-    """The same rows with a key that the planner shuffles anew, so that AQE may split a hot key of the other side."""
-    return grouped.withColumn(key, F.col(key) + F.lit(0))
-
-
 def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``, before a join that shuffles them; rows of wanted keys all stay.
 
@@ -203,41 +171,3 @@ def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], share: int = 10
     often = rows.alias("r").join(F.broadcast(hot).alias("h"), same).select(*columns, *(F.col(f"h.{c}") for c in extra))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return often.unionByName(rest.join(rehashed(small.where(F.col("m") * share <= total).drop("m"), keys[0]), keys).select(*rows.columns, *extra))
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: edges(a, b long) -> (id, component), component the least id reachable.
-
-    Distributed union-find by alternating hooks: each round every vertex's larger neighbours are linked to its least
-    neighbour, then its smaller ones (Kiveris et al., "Connected Components in MapReduce and Beyond"). Every round is
-    groupings with partial aggregation and joins, written to the shared folder; no vertex's neighbours are gathered
-    in one row. Vertices without edges are not returned. Raises if ``rounds`` do not reach the fixed point.
-    """
-    spark = edges.sparkSession
-    now = materialize(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = large = None
-    for _ in range(rounds):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if not state["n"]:
-            return spark.createDataFrame([], "id long, component long")
-        if seen == (state["n"], state["s"]):
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        seen = (state["n"], state["s"])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = materialize(
-            both.join(rehashed(least), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        discard(now)
-        small = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        now = materialize(
-            large.join(rehashed(small), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u <> v").distinct()
-        )
-        discard(large)
-    raise RuntimeError("connected_components: rounds are too few")

@@ -1,5 +1,8 @@
 """Near-duplicate vectors by exact comparison in blocks (operator 4).
 
+Passes sorted by concatenated random hashes with bounded windows, the method first meant for this operator, compare a vector with few of many that are alike: in a
+label with more near vectors than a window holds, they cannot give the number of links. So all pairs that may link are compared.
+
 Vectors of one label and length are compared with one another, all of them: small labels share a task, larger ones are cut into cells
 around pivots (rows of the label) and cells into blocks, of which every two meet in one task. A vector is sent to the blocks of another cell only
 where the triangle inequality of angles allows a link: its angle to that cell's pivot is at most the cell's radius plus the angle of ``least``.
@@ -203,11 +206,11 @@ def _links(classes: DataFrame, least: float, block: int) -> DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, block: int = 2048, window: int | None = None
+    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, block: int = 2048
 ) -> DataFrame:
     """Per row: vec_id, n_links (other vectors of its label with a cosine of ``least`` or more), component_id, kept.
 
-    A task compares two blocks of about ``block`` vectors; ``window``, of the former sorted passes, is accepted and changes nothing.
+    A task compares two blocks of about ``block`` vectors.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     fit = F.coalesce(
