@@ -20,6 +20,7 @@ import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ from tracemill.llm.common import materialize, slices
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _SPECIAL = re.compile("[>\"']")
+#: Most tags: attributes without single quotes and angle brackets. A try ends at the next angle bracket.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+)*+)>")
 _HEADLINES = re.compile(r"<(h1|/header)(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
@@ -96,6 +99,8 @@ class Tags:
         """Of the next tag from ``at``: where it begins and ends, its name (null for comments and the like), whether it closes, its attributes. At the end: the page's size."""
         page, size = self.page, len(self.page)
         while (start := page.find("<", at)) >= 0:
+            if m := _PLAIN.match(page, start):
+                return start, m.end(), m[2].lower(), m[1] == "/", m[3]
             if page.startswith("<!--", start):
                 end = page.find("-->", start + 4)
                 return start, size if end < 0 else end + 3, None, False, ""
@@ -113,6 +118,23 @@ class Tags:
         return size, size, None, False, ""
 
 
+Token = tuple[str, int, str | None, bool, str]
+
+
+def _tokens(page: str) -> list[Token]:
+    """The text before each tag, the place of the tag, its name (null for what is no element), whether it closes, its attributes. The content of raw elements is left out."""
+    out, at, size, tags = [], 0, len(page), Tags(page)
+    while at < size:
+        start, end, tag, closes, attrs = tags.following(at)
+        out.append((page[at:start], start, tag, closes, attrs))
+        at = end
+        if tag in RAW and not closes:
+            m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            stop = page.find(">", m.start()) if m else -1
+            at = size if stop < 0 else stop + 1
+    return out
+
+
 class Node:
     """An open or closed element: the number of its generalised path, and blocks first..last of the page (last exclusive)."""
 
@@ -133,29 +155,37 @@ class Node:
         return "".join("/" + x for x in reversed(steps))
 
 
-def _open(tag: str, attrs: str, parent: Node, first: int, numbers: dict[tuple[int, str], int], wrapper: bool, inside: bool) -> Node:
+def _attributes(attrs: str) -> tuple[tuple[str, ...], bool, bool, bool, bool]:
+    """Of an element's attributes: class names without numbers; whether it is hidden, and marked by comment words, by outside words, as likely the article."""
     names, words = [], set()
     hidden = False
-    if attrs and not attrs.isspace():
-        for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                hidden = True
-                continue
-            if key == "class":
-                names = sorted({re.sub(r"\d+", "#", c).replace("/", "|") for c in value.lower().split()})
-            for one in value.split():
-                got = [w.lower() for w in _WORD.findall(one)]
-                if not NOT_WORDS.intersection(got):
-                    words.update(got)
-    marked = OUTSIDE_WORDS & words
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            hidden = True
+            continue
+        if key == "class":
+            names = sorted({re.sub(r"\d+", "#", c).replace("/", "|") for c in value.lower().split()})
+        for one in value.split():
+            got = [w.lower() for w in _WORD.findall(one)]
+            if not NOT_WORDS.intersection(got):
+                words.update(got)
+    return tuple(names), hidden, bool(COMMENT_WORDS & words), bool(OUTSIDE_WORDS & words), bool(LIKELY_WORDS & words)
+
+
+_remembered = lru_cache(4096)(_attributes)
+_NONE = _attributes("")
+
+
+def _open(tag: str, attrs: str, parent: Node, first: int, numbers: dict[tuple[int, str], int], wrapper: bool, place: int, inside) -> Node:
+    names, hidden, comment, marked, likely = (_remembered if len(attrs) < 200 else _attributes)(attrs) if attrs and not attrs.isspace() else _NONE
     # 2: marked by comment words, 1: by others or a form, 0: not
-    soft = 0 if tag in ("html", "body") else 2 if COMMENT_WORDS & words else 1 if marked or tag == "form" else 0
-    # inside: part of a sentence, or a header with the article's headline
-    outside = parent.outside or tag in OUTSIDE and not (inside and tag == "header") or hidden or bool(soft) and tag not in NEVER_OUTSIDE and not wrapper and not inside
+    soft = 0 if tag in ("html", "body") else 2 if comment else 1 if marked or tag == "form" else 0
+    never = tag in OUTSIDE and not (tag == "header" and inside(tag, place))
+    outside = parent.outside or never or hidden or bool(soft) and tag not in NEVER_OUTSIDE and not wrapper and not inside(tag, place)
     step = ".".join([tag, *names])
-    bonus = 1.5 if tag in ("article", "main") else 1.2 if LIKELY_WORDS & words else 1.0
-    clean = not marked and (tag in ("article", "main", "h1") or bool(LIKELY_WORDS & words))
+    bonus = 1.5 if tag in ("article", "main") else 1.2 if likely else 1.0
+    clean = not marked and (tag in ("article", "main", "h1") or likely)
     number = numbers.setdefault((parent.number, step), len(numbers) + 1)
     return Node(tag, step, number, soft, outside, clean, first, bonus, tag == "a" or parent.link, parent)
 
@@ -168,17 +198,18 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
 
 def _parse(page: str) -> tuple[list[str], list[int], list[Node], dict[tuple[int, str], int]]:
     """``parse`` with each block's characters in links, and the number of each path by its parent's and its last step."""
-    got = _read(page, frozenset(), False)
+    tokens = _tokens(page)
+    got = _read(page, tokens, frozenset(), False)
     if any(n.soft and n.tag not in NEVER_OUTSIDE for n in got[2]):
-        if around := _wrappers(page):
-            got = _read(page, around, False)
+        if around := _wrappers(page, tokens):
+            got = _read(page, tokens, around, False)
     return got
 
 
-def _wrappers(page: str) -> frozenset[int]:
+def _wrappers(page: str, tokens: list[Token]) -> frozenset[int]:
     """Places of marked elements that wrap the article: they hold most of the page's text and in it a container or headline that is not
     marked, or nearly all text, if not marked as comments."""
-    blocks, linked, nodes, _ = _read(page, frozenset(), True)
+    blocks, linked, nodes, _ = _read(page, tokens, frozenset(), True)
     own = [max(0, len(t) - n) for t, n in zip(blocks, linked)]
     size = [0, *accumulate(own)]
     clean = [0, *accumulate(int(n.clean and not n.outside) for n in nodes)]
@@ -205,7 +236,7 @@ def _wrappers(page: str) -> frozenset[int]:
     return frozenset(found)
 
 
-def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], list[int], list[Node], dict[tuple[int, str], int]]:
+def _read(page: str, tokens: list[Token], wrappers: frozenset[int], all_: bool) -> tuple[list[str], list[int], list[Node], dict[tuple[int, str], int]]:
     """Blocks, their characters in links, elements and paths; marked elements at ``wrappers``, or all, count as inside."""
     root = Node("", "", 0, 0, False, False, 0, 1.0, False, None)
     numbers: dict[tuple[int, str], int] = {}
@@ -260,7 +291,6 @@ def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], l
                 return 0
         return 0
 
-    at, size, tags = 0, len(page), Tags(page)
     headlines: list[tuple[int, bool]] | None = None  # places of h1 and of ends of headers
 
     def titled(place: int) -> bool:
@@ -271,10 +301,12 @@ def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], l
         k = bisect(headlines, (place, True))
         return k < len(headlines) and headlines[k][1]
 
-    while at < size:
-        start, end, tag, closes, attrs = tags.following(at)
-        text(page[at:start])
-        at = end
+    def inside(tag: str, place: int) -> bool:
+        """Whether an element is inside the article whatever marks it: part of a sentence, or a header with the article's headline."""
+        return tag not in BLOCKS and any([opened[x] for x in SENTENCES]) or tag == "header" and stack[-1].article is not None and titled(place)
+
+    for before, start, tag, closes, attrs in tokens:
+        text(before)
         if tag is None:
             continue
         if closes:
@@ -300,16 +332,9 @@ def _read(page: str, wrappers: frozenset[int], all_: bool) -> tuple[list[str], l
                     close(i)
             if tag == "body" and (i := find(("head",), ())):
                 close(i)
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
-            at = m.start() if m else size
-            stop = page.find(">", at)
-            at = size if stop < 0 else stop + 1
+        if tag in VOID or tag in RAW:
             continue
-        inside = tag not in BLOCKS and any([opened[x] for x in SENTENCES]) or tag == "header" and stack[-1].article is not None and titled(start)
-        node = _open(tag, attrs, stack[-1], len(blocks), numbers, all_ or len(nodes) in wrappers, inside)
+        node = _open(tag, attrs, stack[-1], len(blocks), numbers, all_ or len(nodes) in wrappers, start, inside)
         if node.outside and not stack[-1].outside and tag in BLOCKS | OUTSIDE:
             flush()
             node.first = len(blocks)
