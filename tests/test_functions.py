@@ -113,3 +113,15 @@ def test_any_number_of_envelopes(spark):
     note = '<subagent_notification> {"agent_path": "a", "status": "done"} </subagent_notification>\n'
     for n in (1, 9, 3000):
         assert one(spark, c.strip_ambient("x", 4), note * n + "do it\n" + note + "!") == "do it\n" + note + "!"
+
+
+def test_unclosed_brackets_take_linear_time():
+    import time
+
+    from tracemill.functions.redaction import _named
+
+    for unit, tail in (("password=[ ", ""), ("password=[ ", "]"), ("secret={[ ", ""), ('password=[ "', "")):
+        began = time.process_time()
+        _named(unit * (500_000 // len(unit)) + tail)
+        assert time.process_time() - began < 3, unit
+    assert _named('password=["alpha1",\n "beta2"] x') == "[REDACTED:NAMED_SECRET] x" and _named("password=[ [ a ] b") == "[REDACTED:NAMED_SECRET]"

@@ -41,7 +41,19 @@ _closing = {"[": "]", "{": "}"}
 _piece = re.compile(rf"{_KEY}|\"(?:\\(?s:.)|[^\"\\])*+(?:\"|\Z)|'(?:\\(?s:.)|[^'\\])*+(?:'|\Z)|[\[\]{{}}]")
 
 
-def _value_end(text: str, start: int) -> int:
+def _close_brackets(text: str, start: int, closed: dict[int, int | None]) -> None:
+    """Note where each bracket from ``start`` on is closed, null where it is not, in one pass: a later value may begin at any of them."""
+    waiting: dict[str, list[int]] = {"[": [], "{": []}
+    for m in _piece.finditer(text, start):
+        if m[0] in waiting:
+            waiting[m[0]].append(m.start())
+        elif m[0] in ("]", "}"):
+            if opened := waiting["[" if m[0] == "]" else "{"]:
+                closed[opened.pop()] = m.end()
+    closed.update((at, None) for opened in waiting.values() for at in opened)
+
+
+def _value_end(text: str, start: int, closed: dict[int, int | None]) -> int:
     """End of a secret's value: its closing quote or bracket, or, where it has none, what comes first of the next field and the line's end.
 
     Private keys are never cut: they belong to the value whole, or to the text's end if they do not end.
@@ -50,18 +62,18 @@ def _value_end(text: str, start: int) -> int:
     if first in _quoted and (m := _quoted[first].match(text, start)):
         return m.end()
     if first in _closing:
-        depth = 0
-        for m in _piece.finditer(text, start):
-            depth += (m[0] == first) - (m[0] == _closing[first])
-            if not depth:
-                return m.end()
+        if start not in closed:
+            _close_brackets(text, start, closed)
+        if (end := closed[start]) is not None:
+            return end
     return _plain.match(text, start + len(first) if first in _quoted or first in _closing else start).end()
 
 
 def _named(text: str) -> str:
     out, done, at = [], 0, 0
+    closed: dict[int, int | None] = {}
     while m := _secret.search(text, at):
-        end = max(m.end(), _value_end(text, m.end()))
+        end = max(m.end(), _value_end(text, m.end(), closed))
         value = text[m.end() : end].strip().strip("\"'")
         if "auth" in m[0].lower() and "token" not in m[0].lower() and (b := _bearer.match(value)) and not value[b.end() :].strip():
             at = end  # the bearer rule takes the credential alone
