@@ -80,14 +80,6 @@ def test_paths(spark, text, want):
     assert one(spark, r.redact_paths("x"), text) == want
 
 
-@pytest.mark.parametrize("command,want", [
-    ("go test ./a", ("go:test", "go:test ./a", "test", None)), ("/usr/bin/npm run lint", ("npm:lint", "npm:lint", "lint", None)), ("go test -run X ./a", ("go:test", None, None, None)), ("git status --porcelain=v1 --branch", ("git:status", None, None, "status")),
-    ("git push", ("git:other", None, None, None)), ("ls -l", ("other", None, None, None)), ("go test ./a | tail", ("other", None, None, None)), ("", ("other", None, None, None)),
-])
-def test_commands(spark, command, want):
-    assert tuple(one(spark, c.classify_command("x"), command)) == want
-
-
 def test_outputs(spark):
     out = lambda t: tuple(one(spark, c.parse_terminal_output("x"), t))
     assert out("Exit code: 0\nWall time: 1\nOutput:\nhello\n") == (0, True, "hello\n")

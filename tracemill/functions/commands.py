@@ -2,56 +2,131 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import col, normalize_path
 
-# Command signature, component and kind of verification, by leading words.
+# Flags that go takes alone and with a value, and those of its tests besides.
+GO_SWITCHES = ("-a", "-asan", "-msan", "-race", "-trimpath", "-v", "-work", "-x")
+GO_VALUES = ("-mod", "-modfile", "-p", "-pkgdir", "-tags", "-gcflags", "-ldflags")
+GO_TEST_SWITCHES = ("-cover", "-failfast", "-json", "-short")
+GO_TEST_VALUES = ("-bench", "-count", "-run", "-shuffle", "-skip", "-timeout", "-covermode", "-coverpkg", "-coverprofile")
+# Test patterns that select nothing.
+EMPTY_PATTERNS = ("^$", "$^")
+
+
+class Grammar(NamedTuple):
+    """What a tool accepts after its leading words; whatever is not listed makes the command prove nothing.
+
+    ``after`` are the words allowed behind ``--``: a tool that has some takes places only before them, one without does not know ``--``.
+    """
+
+    switches: tuple[str, ...] = ()
+    values: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+
+    def column(self) -> Column:
+        return F.struct(*(F.array(*map(F.lit, v)).cast("array<string>").alias(n) for n, v in self._asdict().items()))
+
+
+GO, GO_TEST, NPM = Grammar(GO_SWITCHES, GO_VALUES), Grammar(GO_SWITCHES + GO_TEST_SWITCHES, GO_VALUES + GO_TEST_VALUES), Grammar(after=("--runInBand",))
+# Signature and kind of verification by leading words.
 VERIFICATIONS = {
-    "go test": ("go:test", "test"), "go build": ("go:build", "build"), "go vet": ("go:vet", "lint"), "npm test": ("npm:test", "test"),
-    "npm run test": ("npm:test", "test"), "npm run build": ("npm:build", "build"), "npm run lint": ("npm:lint", "lint"),
+    "go test": ("go:test", "test", GO_TEST), "go build": ("go:build", "build", GO), "go vet": ("go:vet", "lint", GO), "npm test": ("npm:test", "test", NPM),
+    "npm run test": ("npm:test", "test", NPM), "npm run build": ("npm:build", "build", NPM), "npm run lint": ("npm:lint", "lint", NPM),
 }
-# Git queries whose output is understood.
+# Git queries whose output is understood; their arguments may stand in any order.
 GIT_QUERIES = {
-    "git status --porcelain=v1 --branch": ("git:status", "status"), "git rev-parse HEAD": ("git:head", "head"),
-    "git branch --show-current": ("git:branch", "branch"), "git describe --tags --exact-match": ("git:tag", "tag"),
+    "status": (("--branch", "--porcelain=v1"), "git:status", "status"), "rev-parse": (("HEAD",), "git:head", "head"),
+    "branch": (("--show-current",), "git:branch", "branch"), "describe": (("--exact-match", "--tags"), "git:tag", "tag"),
 }
+# Longest command, most words and longest word that are read, in bytes.
+MAX_COMMAND, MAX_WORDS, MAX_WORD = 4096, 128, 512
 # Leading envelopes that machines put before a user's words, and the notice of an interruption.
 AMBIENT_TAGS = ("environment_context", "recommended_plugins")
 INTERRUPTED = (
     "The user interrupted the previous turn on purpose. Any running unified exec processes may still be running in the background. "
     "If any tools/commands were aborted, they may have partially executed."
 )
-SHELL_SIGNS = r"""[|&;<>()$`\\"'*?\[\]#~%{}\n]"""
+# A piece of a word: plain characters, a quoted text in which no shell replaces anything, or an escaped character.
+PIECE = r"""(?:[^ \t\n\r\x00;&|<>()$`*?\[\]{}#'"\\]++|'[^'\n\r\x00]*+'|"[^"$`\\\n\r\x00]*+"|\\[^\n\r\x00])"""
+# A package: ., ./... or path segments of lower case.
+PACKAGE = r"\A(?:\.|\./\.\.\.|(?:\./)?[a-z0-9][a-z0-9._-]{0,127}(?:/[a-z0-9][a-z0-9._-]{0,127})*(?:/\.\.\.)?)\z"
+
+
+def shell_words(command: str | Column) -> Column:
+    """The words of a command that is literal, without quotes and escapes; null if a shell would interpret any of it, or it is too long."""
+    c = col(command)
+    words = F.transform(F.regexp_extract_all(c, F.lit(f"({PIECE}++)"), F.lit(1)), lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)"|\\(.)""", "$1$2$3"))
+    fits = (F.size(words) > 0) & (F.size(words) <= MAX_WORDS) & F.forall(words, lambda w: F.octet_length(w) <= MAX_WORD)
+    return F.when((F.octet_length(c) <= MAX_COMMAND) & F.rlike(c, F.lit(rf"\A(?:[ \t]|{PIECE})++\z")), F.when(fits, words))
+
+
+def _read_arguments(words: Column, grammar: Column) -> Column:
+    """struct(ok, component): whether the grammar accepts all words, and the kind of the first place among them.
+
+    A fold over the words whose state is the flag that waits for its value, whether ``--`` has come, the places so far, and what tests are selected.
+    """
+    start = F.struct(
+        F.lit("").alias("waiting"), F.lit(True).alias("ok"), F.lit(False).alias("rest"), F.lit(False).alias("places"), F.lit(".").alias("component"),
+        F.lit(False).alias("bench"), F.lit(False).alias("idle"),
+    )
+
+    def step(a: Column, w: Column) -> Column:
+        waits, dash, inline = a.waiting != "", F.startswith(w, F.lit("-")), F.contains(w, F.lit("="))
+        name = F.substring_index(w, "=", 1)
+        flag = F.when(waits, a.waiting).when(~a.rest & dash, name).otherwise("")
+        value = F.when(waits, w).otherwise(F.substring(w, F.length(name) + 2, F.length(w)))
+        takes = F.array_contains(grammar.values, flag)
+        given = waits | (takes & inline)
+        number = F.rlike(value, F.lit(r"\A\+?0*[1-9][0-9]*\z")) & value.try_cast("long").isNotNull()
+        good = F.when(waits, ~dash).otherwise(value != "") & ((flag != "-count") | number)
+        place = ~waits & ~a.rest & (~dash | (w == "-"))
+        ok = (
+            F.when(given, good).when(a.rest, F.array_contains(grammar.after, w)).when(w == "-", F.size(grammar.after) == 0).when(w == "--", F.size(grammar.after) > 0)
+            .when(dash, takes | F.array_contains(grammar.switches, flag)).otherwise(True)
+        )
+        kind = F.when((F.octet_length(w) <= 256) & F.rlike(w, F.lit(PACKAGE)), "package").otherwise("other")
+        return F.struct(
+            F.when(takes & ~given, flag).otherwise("").alias("waiting"), (a.ok & ok).alias("ok"), (a.rest | (~waits & (w == "--"))).alias("rest"), (a.places | place).alias("places"),
+            F.when(place & (w != "-") & (a.component == "."), kind).otherwise(a.component).alias("component"),
+            (a.bench | (given & (flag == "-bench"))).alias("bench"), F.when(given & (flag == "-run"), value.isin(*EMPTY_PATTERNS)).otherwise(a.idle).alias("idle"),
+        )
+
+    placed = lambda a: (F.size(grammar.after) == 0) | a.rest | ~a.places
+    return F.aggregate(words, start, step, lambda a: F.struct((a.ok & (a.waiting == "") & ~(a.bench & a.idle) & placed(a)).alias("ok"), a.component.alias("component")))
 
 
 def classify_command(command: str | Column) -> Column:
     """struct(signature, component, verification, git): null parts where a command proves nothing.
 
-    Only literal commands, without any sign that a shell interprets, are understood. Of test, build and lint commands those with
-    flags are recorded by signature but prove nothing.
+    Only literal commands are understood (``shell_words``); null, blank and other ones are ``other``. Of test, build and lint commands those whose arguments
+    the tool's grammar does not accept, or which run nothing (help, lists, dry runs, no counts, empty test patterns beside a benchmark), are recorded by
+    signature but prove nothing. A component is package, other or . (no place) for go, and the signature for npm.
     """
-    c = F.trim(F.regexp_replace(col(command), r"[ \t]+", " "))
-    literal = ~F.rlike(c, F.lit(SHELL_SIGNS)) & (c != "")
-    fields = F.split(c, " ")
-    executable = F.lower(F.element_at(F.split(fields[0], "/"), -1))
-    words = F.concat_ws(" ", executable, F.lower(F.get(fields, F.lit(1))), F.get(fields, F.lit(2)))
-    flags = F.exists(F.slice(fields, 2, F.size(fields)), lambda x: F.startswith(x, F.lit("-")))
-    signature, component, verification, git = (F.lit(None).cast("string") for _ in range(4))
-    for lead, (sign, kind) in VERIFICATIONS.items():
-        hit = (words == lead) | F.startswith(words, F.lit(lead + " "))
-        rest = F.array_join(F.slice(fields, lead.count(" ") + 2, F.size(fields)), " ")
-        signature = F.when(hit, sign).otherwise(signature)
-        component = F.when(hit & ~flags, F.concat_ws(" ", F.lit(sign), F.when((rest != "") & F.lit(lead.startswith("go")), rest))).otherwise(component)
-        verification = F.when(hit & ~flags, kind).otherwise(verification)
-    for line, (sign, kind) in GIT_QUERIES.items():
-        hit = c == line
-        signature, git = F.when(hit, sign).otherwise(signature), F.when(hit, kind).otherwise(git)
+    words = shell_words(command)
+    executable = F.lower(F.regexp_extract(F.get(words, F.lit(0)), r"([^/]*)/*\z", 1))
+    operation = F.lower(F.get(words, F.lit(1)))
+    lead = F.concat_ws(" ", executable, operation, F.when((executable == "npm") & (operation == "run"), F.get(words, F.lit(2))))
+    signature, kind, grammar, n = (F.lit(None).cast(t) for t in ("string", "string", "struct<switches:array<string>,values:array<string>,after:array<string>>", "int"))
+    for words_, (sign, what, g) in VERIFICATIONS.items():
+        hit = lead == words_
+        signature, kind = F.when(hit, sign).otherwise(signature), F.when(hit, what).otherwise(kind)
+        grammar, n = F.when(hit, g.column()).otherwise(grammar), F.when(hit, words_.count(" ") + 1).otherwise(n)
+    read = F.when(n.isNotNull(), _read_arguments(F.slice(words, n + 1, F.size(words)), grammar))
+    proves = F.coalesce(read.ok, F.lit(False))
+    arguments = F.array_sort(F.slice(words, 3, F.size(words)))
+    asked, git = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for word, (wanted, sign, what) in GIT_QUERIES.items():
+        hit = (executable == "git") & (operation == word) & (arguments == F.array(*map(F.lit, wanted)))
+        asked, git = F.when(hit, sign).otherwise(asked), F.when(hit, what).otherwise(git)
     other = F.when(executable.isin("go", "npm", "git"), F.concat(executable, F.lit(":other"))).otherwise("other")
     return F.struct(
-        F.when(literal, F.coalesce(signature, other)).otherwise("other").alias("signature"), F.when(literal, component).alias("component"),
-        F.when(literal, verification).alias("verification"), F.when(literal, git).alias("git"),
+        F.coalesce(signature, asked, other).alias("signature"), F.when(proves, F.when(executable == "go", read.component).otherwise(signature)).alias("component"),
+        F.when(proves, kind).alias("verification"), git.alias("git"),
     )
 
 
