@@ -82,12 +82,18 @@ def test_paths(spark, text, want):
 
 def test_outputs(spark):
     out = lambda t: tuple(one(spark, c.parse_terminal_output("x"), t))
-    assert out("Exit code: 0\nWall time: 1\nOutput:\nhello\n") == (0, True, "hello\n")
+    assert out("exit code: 0\nWall time: 1\nOutput:\nhello\n") == (0, True, "hello\n")
     assert out('{"output": "x", "exit_code": 2}') == (2, True, "x") and out('{"output": "x", "exit_code": 2, "session_id": 7}') == (None, False, "x")
-    assert out("Exit code: 0\nExit code: 1\nOutput:\n") == (None, False, "") and out("text") == (None, False, "text")
+    assert out("exit code: 0\nProcess exited with code 1\nOutput:\n") == (None, False, "") and out("text") == (None, False, "text")
+    assert out("a\r\n exit code: 3\nb") == (3, True, "a\nb") and out("Process exited with code 3\nb") == (None, False, "Process exited with code 3\nb") and out(None) == (None, False, None)
+    assert out("exit code: 2\nexit code: 02\n\tOutput:\nexit code: 1") == (2, True, "exit code: 1") and out("exit code: 1\nexit code: 2") == (None, False, "exit code: 1\nexit code: 2") and out("{broken") == (None, False, "")
     git = lambda op, t: one(spark, c.parse_git_output(F.lit(op), "x"), t)
     assert git("status", "## main...origin/main\n M a.py\n") == {"branch": "main", "status": "dirty"} and git("status", "## main\n") == {"branch": "main", "status": "clean"}
-    assert git("head", "a" * 40 + "\n") == {"git_head": "a" * 40} and git("head", "x") is None and git("branch", "feat/x") == {"branch": "feat/x"} and git("tag", "v1.2") == {"tag": "v1.2"}
+    assert git("head", "a" * 40 + "\n") == {"git_head": "a" * 40} and git("head", "x") is None and git("branch", "feat/x") == {"branch": "feat/x"} and git("tag", "v1.2+b\nexit code: 0") == {"tag": "v1.2+b"}
+    assert git("status", "## a b...c") is None and git("status", "## main\nX a") is None and git("status", "main") is None and git("branch", "a..b") is None and git("branch", "a.lock") is None and git("head", None) is None
+    ended = lambda code, t: one(spark, c.patch_outcome(F.lit(code).cast("int"), "x"), t)
+    assert [ended(*x) for x in ((0, "Done!"), (None, " Done!\n"), (1, "Done!"), (1, ""), (None, "Failed!"), (0, "Failed!"), (0, ""), (0, "Success. Updated the following files:\nM a"), (0, "Success. Updated the following files:\nX a"))] == [
+        "success", "success", None, "failure", "failure", None, None, "success", None]
     patch = "*** Begin Patch\n*** Update File: b/../a.py\n@@\n*** Add File: /z\n*** Update File: a.py\n"
     assert one(spark, c.patch_targets("x", F.lit("/w")), patch) == ["/w/a.py", "/z"]
 

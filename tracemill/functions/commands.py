@@ -51,6 +51,11 @@ INTERRUPTED = (
     "The user interrupted the previous turn on purpose. Any running unified exec processes may still be running in the background. "
     "If any tools/commands were aborted, they may have partially executed."
 )
+# Notices of an exit in plain text and before an output's head ends, the paths of a patch, and the line before the list of what it changed.
+EXIT_CODE = r"\Aexit code: (-?[0-9]+)\z"
+PROCESS_EXIT = r"\A(?:Process exited with code|exit code:) (-?[0-9]+)\z"
+PATCH_TARGET = r"(?md)^\*\*\* (?:Add|Update|Delete|Move to) File: (.+)$"
+PATCH_LISTED = "Success. Updated the following files:"
 # A piece of a word: plain characters, a quoted text in which no shell replaces anything, or an escaped character.
 PIECE = r"""(?:[^ \t\n\r\x00;&|<>()$`*?\[\]{}#'"\\]++|'[^'\n\r\x00]*+'|"[^"$`\\\n\r\x00]*+"|\\[^\n\r\x00])"""
 # A package: ., ./... or path segments of lower case.
@@ -130,46 +135,69 @@ def classify_command(command: str | Column) -> Column:
     )
 
 
+def trimmed_lines(text: str | Column) -> Column:
+    """Lines without white space around them; a carriage return before a line feed belongs to it."""
+    return F.transform(F.split(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", ""))
+
+
 def parse_terminal_output(output: str | Column) -> Column:
-    """struct(exit_code, finished, body) of a tool's output, as JSON object or as text with a head before ``Output:``.
+    """struct(exit_code, finished, body) of a tool's output, as JSON object or as text with or without a head before ``Output:``.
 
-    Contradictory exit codes, or one beside a live session, give no exit code.
+    In a head both notices of an exit count, in plain text only ``exit code: n``, which is then no part of the body. Contradictory exit codes, one beside
+    a live session, and JSON that cannot be read give no exit code; null gives nothing.
     """
-    c = F.replace(col(output), F.lit("\r\n"), F.lit("\n"))
-    parsed = F.from_json(c, "output string, exit_code int, session_id string")
-    as_json = F.startswith(F.trim(c), F.lit("{")) & parsed.isNotNull()
-    head = F.when(F.rlike(c, F.lit(r"(?m)^\s*Output:\s*$")), F.regexp_extract(c, r"(?s)^(.*?)(?:^|\n)\s*Output:\s*(?:\n|$)", 1)).otherwise(c)
-    body = F.when(F.rlike(c, F.lit(r"(?m)^\s*Output:\s*$")), F.regexp_replace(c, r"(?s)^.*?(?:^|\n)\s*Output:[ \t]*(?:\n|$)", "")).otherwise(c)
-    codes = F.array_distinct(F.regexp_extract_all(head, F.lit(r"(?mi)^\s*(?:Process exited with code|Exit code:?)\s+(-?\d+)\s*$"), F.lit(1)))
-    code = F.when(F.size(codes) == 1, F.get(codes, F.lit(0)).cast("int"))
-    own = F.when(parsed.session_id.isNull(), parsed.exit_code)
-    exit_code = F.when(as_json, own).otherwise(code)
-    return F.struct(exit_code.alias("exit_code"), exit_code.isNotNull().alias("finished"), F.when(as_json, F.coalesce(parsed.output, F.lit(""))).otherwise(body).alias("body"))
+    c = col(output)
+    whole = F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    parsed = F.from_json(whole, "output string, exit_code int, session_id string")
+    as_json = F.startswith(whole, F.lit("{"))
+    lines = trimmed_lines(c)
+    at = F.array_position(lines, "Output:").cast("int")
+    head = F.when(at > 0, F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(lines)
+    seen = lambda pattern: F.filter(F.transform(head, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
+    codes = F.array_distinct(F.transform(F.when(at > 0, seen(PROCESS_EXIT)).otherwise(seen(EXIT_CODE)), lambda x: x.try_cast("int")))
+    exit_code = F.when(as_json, F.when(parsed.session_id.isNull(), parsed.exit_code)).when(F.size(codes) == 1, F.get(codes, F.lit(0)))
+    plain = F.when(F.size(codes) == 1, F.array_join(F.filter(lines, lambda x: ~F.rlike(x, F.lit(EXIT_CODE))), "\n")).otherwise(c)
+    text = F.when(at > 0, F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n")).otherwise(plain)
+    return F.struct(exit_code.alias("exit_code"), exit_code.isNotNull().alias("finished"), F.when(as_json, F.coalesce(parsed.output, F.lit(""))).otherwise(text).alias("body"))
 
 
 def parse_git_output(operation: str | Column, output: str | Column) -> Column:
-    """map of branch, status, git_head or tag; null where the output is not what the query prints."""
+    """map of branch, status, git_head or tag; null where the output is not what the query prints. Blank lines and notices of an exit do not count."""
     op = col(operation)
-    lines = F.filter(F.transform(F.split(F.replace(col(output), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
-    first = F.trim(F.get(lines, F.lit(0)))
-    one = F.size(lines) == 1
-    branch_ok = lambda b: F.rlike(b, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$")) & ~F.contains(b, F.lit("..")) & ~F.endswith(b, F.lit(".lock"))
-    branch = F.regexp_extract(first, r"^## (.+?)(?:\.\.\.| |$)", 1)
-    entries_ok = F.forall(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"^\s?[ MADRCUT?!]{1,2} .+")))
+    lines = F.filter(trimmed_lines(output), lambda x: (x != "") & ~F.rlike(x, F.lit(EXIT_CODE)))
+    first, one = F.get(lines, F.lit(0)), F.size(lines) == 1
+    branch_ok = lambda b: F.rlike(b, F.lit(r"\A[A-Za-z0-9][A-Za-z0-9._/-]{0,255}\z")) & ~F.contains(b, F.lit("..")) & ~F.endswith(b, F.lit(".lock"))
+    named = F.substring(first, F.lit(4), F.length(first))
+    branch = F.when(F.contains(named, F.lit("...")), F.substring_index(named, "...", 1)).otherwise(F.substring_index(named, " ", 1))
+    entries_ok = F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[MADRCUT?!]{1,2}[ \t]+[^\r\n]+\z")))
     pair = lambda k, v: F.create_map(F.lit(k), v)
     return (
-        F.when((op == "status") & branch_ok(branch) & entries_ok, F.create_map(F.lit("branch"), branch, F.lit("status"), F.when(F.size(lines) > 1, "dirty").otherwise("clean")))
-        .when((op == "head") & one & F.rlike(first, F.lit(r"^(?:[0-9a-f]{40}|[0-9a-f]{64})$")), pair("git_head", first))
+        F.when((op == "status") & F.startswith(first, F.lit("## ")) & branch_ok(branch) & entries_ok, F.create_map(F.lit("branch"), branch, F.lit("status"), F.when(F.size(lines) > 1, "dirty").otherwise("clean")))
+        .when((op == "head") & one & F.rlike(first, F.lit(r"\A(?:[0-9a-f]{40}|[0-9a-f]{64})\z")), pair("git_head", first))
         .when((op == "branch") & one & branch_ok(first), pair("branch", first))
-        .when((op == "tag") & one & F.rlike(first, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$")), pair("tag", first))
+        .when((op == "tag") & one & F.rlike(first, F.lit(r"\A[A-Za-z0-9][A-Za-z0-9._/+-]{0,255}\z")), pair("tag", first))
     )
 
 
+def rooted_path(path: str | Column, base: str | Column) -> Column:
+    """``path``, or ``base`` where it is empty, as an absolute path; relative ones stand under ``base``; null if that is not absolute either."""
+    p, b = F.coalesce(F.when(col(path) != "", col(path)), col(base)), col(base)
+    return F.when(F.startswith(p, F.lit("/")), normalize_path(p)).when(F.startswith(b, F.lit("/")) & (p != ""), normalize_path(F.concat(b, F.lit("/"), p)))
+
+
 def patch_targets(patch: str | Column, cwd: str | Column) -> Column:
     """Sorted distinct absolute paths that a patch adds, updates, deletes or moves to; relative ones stand under ``cwd``."""
-    found = F.regexp_extract_all(F.replace(col(patch), F.lit("\r\n"), F.lit("\n")), F.lit(r"(?m)^\*\*\* (?:(?:Add|Update|Delete) File|Move to): (.+?)\s*$"), F.lit(1))
-    full = F.transform(found, lambda p: F.when(F.startswith(p, F.lit("/")), normalize_path(p)).when(F.startswith(col(cwd), F.lit("/")), normalize_path(F.concat(col(cwd), F.lit("/"), p))))
-    return F.array_sort(F.array_distinct(F.array_compact(full)))
+    found = F.regexp_extract_all(F.replace(col(patch), F.lit("\r\n"), F.lit("\n")), F.lit(PATCH_TARGET), F.lit(1))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda p: rooted_path(p, cwd)))))
+
+
+def patch_outcome(exit_code: str | Column, body: str | Column) -> Column:
+    """success or failure of a patch by its output; null where the text says nothing or contradicts the exit code."""
+    lines, word = trimmed_lines(body), F.regexp_replace(col(body), r"\A\s+|\s+\z", "")
+    listed = (F.size(lines) > 1) & (F.get(lines, F.lit(0)) == PATCH_LISTED) & F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[AMDR] \s*\S")))
+    said = F.when((word == "Done!") | listed, "success").when(word == "Failed!", "failure")
+    code = col(exit_code)
+    return F.when(code.isNull(), said).when(code == 0, F.when(said == "success", said)).when(F.coalesce(said, F.lit("failure")) == "failure", "failure")
 
 
 def strip_ambient(text: str | Column, rule_version: int = 4) -> Column:
