@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -62,12 +63,17 @@ PIECE = r"""(?:[^ \t\n\r\x00;&|<>()$`*?\[\]{}#'"\\]++|'[^'\n\r\x00]*+'|"[^"$`\\\
 PACKAGE = r"\A(?:\.|\./\.\.\.|(?:\./)?[a-z0-9][a-z0-9._-]{0,127}(?:/[a-z0-9][a-z0-9._-]{0,127})*(?:/\.\.\.)?)\z"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it; without it an expression repeats all that stands below each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shell_words(command: str | Column) -> Column:
     """The words of a command that is literal, without quotes and escapes; null if a shell would interpret any of it, or it is too long."""
     c = col(command)
-    words = F.transform(F.regexp_extract_all(c, F.lit(f"({PIECE}++)"), F.lit(1)), lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)"|\\(.)""", "$1$2$3"))
-    fits = (F.size(words) > 0) & (F.size(words) <= MAX_WORDS) & F.forall(words, lambda w: F.octet_length(w) <= MAX_WORD)
-    return F.when((F.octet_length(c) <= MAX_COMMAND) & F.rlike(c, F.lit(rf"\A(?:[ \t]|{PIECE})++\z")), F.when(fits, words))
+    plain = F.transform(F.regexp_extract_all(c, F.lit(f"({PIECE}++)"), F.lit(1)), lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)"|\\(.)""", "$1$2$3"))
+    fits = lambda words: (F.size(words) > 0) & (F.size(words) <= MAX_WORDS) & F.forall(words, lambda w: F.octet_length(w) <= MAX_WORD)
+    return F.when((F.octet_length(c) <= MAX_COMMAND) & F.rlike(c, F.lit(rf"\A(?:[ \t]|{PIECE})++\z")), let(plain, lambda words: F.when(fits(words), words)))
 
 
 def _read_arguments(words: Column, grammar: Column) -> Column:
@@ -80,31 +86,40 @@ def _read_arguments(words: Column, grammar: Column) -> Column:
         F.lit(False).alias("bench"), F.lit(False).alias("idle"),
     )
 
-    def step(a: Column, w: Column) -> Column:
-        waits, dash, inline = a.waiting != "", F.startswith(w, F.lit("-")), F.contains(w, F.lit("="))
-        name = F.substring_index(w, "=", 1)
+    def read(a: Column, w: Column) -> Column:
+        waits, dash, name = a.waiting != "", F.startswith(w, F.lit("-")), F.substring_index(w, "=", 1)
         flag = F.when(waits, a.waiting).when(~a.rest & dash, name).otherwise("")
         value = F.when(waits, w).otherwise(F.substring(w, F.length(name) + 2, F.length(w)))
-        takes = F.array_contains(grammar.values, flag)
-        given = waits | (takes & inline)
-        number = F.rlike(value, F.lit(r"\A\+?0*[1-9][0-9]*\z")) & value.try_cast("long").isNotNull()
-        good = F.when(waits, ~dash).otherwise(value != "") & ((flag != "-count") | number)
-        place = ~waits & ~a.rest & (~dash | (w == "-"))
+        return F.struct(waits.alias("waits"), dash.alias("dash"), F.contains(w, F.lit("=")).alias("inline"), flag.alias("flag"), value.alias("value"))
+
+    def judged(t: Column) -> Column:
+        takes = F.array_contains(grammar.values, t.flag)
+        number = F.rlike(t.value, F.lit(r"\A\+?0*[1-9][0-9]*\z")) & t.value.try_cast("long").isNotNull()
+        good = F.when(t.waits, ~t.dash).otherwise(t.value != "") & ((t.flag != "-count") | number)
+        return F.struct(takes.alias("takes"), (t.waits | (takes & t.inline)).alias("given"), good.alias("good"))
+
+    def following(a: Column, w: Column, t: Column, j: Column) -> Column:
+        place = ~t.waits & ~a.rest & (~t.dash | (w == "-"))
         ok = (
-            F.when(given, good).when(a.rest, F.array_contains(grammar.after, w)).when(w == "-", F.size(grammar.after) == 0).when(w == "--", F.size(grammar.after) > 0)
-            .when(dash, takes | F.array_contains(grammar.switches, flag)).otherwise(True)
+            F.when(j.given, j.good).when(a.rest, F.array_contains(grammar.after, w)).when(w == "-", F.size(grammar.after) == 0).when(w == "--", F.size(grammar.after) > 0)
+            .when(t.dash, j.takes | F.array_contains(grammar.switches, t.flag)).otherwise(True)
         )
         kind = F.when((F.octet_length(w) <= 256) & F.rlike(w, F.lit(PACKAGE)), "package").otherwise("other")
         return F.struct(
-            F.when(takes & ~given, flag).otherwise("").alias("waiting"), (a.ok & ok).alias("ok"), (a.rest | (~waits & (w == "--"))).alias("rest"), (a.places | place).alias("places"),
+            F.when(j.takes & ~j.given, t.flag).otherwise("").alias("waiting"), (a.ok & ok).alias("ok"), (a.rest | (~t.waits & (w == "--"))).alias("rest"), (a.places | place).alias("places"),
             F.when(place & (w != "-") & (a.component == "."), kind).otherwise(a.component).alias("component"),
-            (a.bench | (given & (flag == "-bench"))).alias("bench"), F.when(given & (flag == "-run"), value.isin(*EMPTY_PATTERNS)).otherwise(a.idle).alias("idle"),
+            (a.bench | (j.given & (t.flag == "-bench"))).alias("bench"), F.when(j.given & (t.flag == "-run"), t.value.isin(*EMPTY_PATTERNS)).otherwise(a.idle).alias("idle"),
         )
 
+    step = lambda a, w: let(read(a, w), lambda t: let(judged(t), lambda j: following(a, w, t, j)))
     placed = lambda a: (F.size(grammar.after) == 0) | a.rest | ~a.places
     return F.aggregate(words, start, step, lambda a: F.struct((a.ok & (a.waiting == "") & ~(a.bench & a.idle) & placed(a)).alias("ok"), a.component.alias("component")))
 
 
+def _table(entries: dict[str, Column]) -> Column:
+    return F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v)))
+
+
 def classify_command(command: str | Column) -> Column:
     """struct(signature, component, verification, git): null parts where a command proves nothing.
 
@@ -112,27 +127,27 @@ def classify_command(command: str | Column) -> Column:
     the tool's grammar does not accept, or which run nothing (help, lists, dry runs, no counts, empty test patterns beside a benchmark), are recorded by
     signature but prove nothing. A component is package, other or . (no place) for go, and the signature for npm.
     """
-    words = shell_words(command)
-    executable = F.lower(F.regexp_extract(F.get(words, F.lit(0)), r"([^/]*)/*\z", 1))
-    operation = F.lower(F.get(words, F.lit(1)))
-    lead = F.concat_ws(" ", executable, operation, F.when((executable == "npm") & (operation == "run"), F.get(words, F.lit(2))))
-    signature, kind, grammar, n = (F.lit(None).cast(t) for t in ("string", "string", "struct<switches:array<string>,values:array<string>,after:array<string>>", "int"))
-    for words_, (sign, what, g) in VERIFICATIONS.items():
-        hit = lead == words_
-        signature, kind = F.when(hit, sign).otherwise(signature), F.when(hit, what).otherwise(kind)
-        grammar, n = F.when(hit, g.column()).otherwise(grammar), F.when(hit, words_.count(" ") + 1).otherwise(n)
-    read = F.when(n.isNotNull(), _read_arguments(F.slice(words, n + 1, F.size(words)), grammar))
-    proves = F.coalesce(read.ok, F.lit(False))
-    arguments = F.array_sort(F.slice(words, 3, F.size(words)))
-    asked, git = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for word, (wanted, sign, what) in GIT_QUERIES.items():
-        hit = (executable == "git") & (operation == word) & (arguments == F.array(*map(F.lit, wanted)))
-        asked, git = F.when(hit, sign).otherwise(asked), F.when(hit, what).otherwise(git)
-    other = F.when(executable.isin("go", "npm", "git"), F.concat(executable, F.lit(":other"))).otherwise("other")
-    return F.struct(
-        F.coalesce(signature, asked, other).alias("signature"), F.when(proves, F.when(executable == "go", read.component).otherwise(signature)).alias("component"),
-        F.when(proves, kind).alias("verification"), git.alias("git"),
-    )
+    tools = _table({lead: F.struct(F.lit(sign).alias("signature"), F.lit(kind).alias("kind"), F.lit(lead.count(" ") + 2).alias("at"), g.column().alias("grammar")) for lead, (sign, kind, g) in VERIFICATIONS.items()})
+    queries = _table({word: F.struct(F.array(*map(F.lit, wanted)).alias("wanted"), F.lit(sign).alias("signature"), F.lit(git).alias("git")) for word, (wanted, sign, git) in GIT_QUERIES.items()})
+
+    def led(words: Column) -> Column:
+        executable, operation = F.lower(F.regexp_extract(F.get(words, F.lit(0)), r"([^/]*)/*\z", 1)), F.lower(F.get(words, F.lit(1)))
+        return F.struct(executable.alias("executable"), F.coalesce(operation, F.lit("")).alias("operation"), F.get(words, F.lit(2)).alias("third"))
+
+    def found(words: Column, x: Column) -> Column:
+        lead = F.concat_ws(" ", x.executable, x.operation, F.when((x.executable == "npm") & (x.operation == "run"), x.third))
+        query = let(F.when(x.executable == "git", F.try_element_at(queries, x.operation)), lambda q: F.when(F.array_sort(F.slice(words, 3, F.size(words))) == q.wanted, q))
+        read = lambda t: F.when(t.isNotNull(), _read_arguments(F.slice(words, t["at"], F.size(words)), t.grammar))
+        return let(F.try_element_at(tools, lead), lambda t: F.struct(t.alias("tool"), read(t).alias("read"), query.alias("query")))
+
+    def shown(x: Column, y: Column) -> Column:
+        other = F.when(x.executable.isin("go", "npm", "git"), F.concat(x.executable, F.lit(":other"))).otherwise("other")
+        return F.struct(
+            F.coalesce(y.tool.signature, y.query.signature, other).alias("signature"), F.when(y["read"].ok, F.when(x.executable == "go", y["read"].component).otherwise(y.tool.signature)).alias("component"),
+            F.when(y["read"].ok, y.tool.kind).alias("verification"), y.query.git.alias("git"),
+        )
+
+    return let(shell_words(command), lambda words: let(led(words), lambda x: let(found(words, x), lambda y: shown(x, y))))
 
 
 def trimmed_lines(text: str | Column) -> Column:
@@ -147,36 +162,44 @@ def parse_terminal_output(output: str | Column) -> Column:
     a live session, and JSON that cannot be read give no exit code; null gives nothing.
     """
     c = col(output)
-    whole = F.regexp_replace(c, r"\A\s+|\s+\z", "")
-    parsed = F.from_json(whole, "output string, exit_code int, session_id string")
-    as_json = F.startswith(whole, F.lit("{"))
-    lines = trimmed_lines(c)
-    at = F.array_position(lines, "Output:").cast("int")
-    head = F.when(at > 0, F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(lines)
-    seen = lambda pattern: F.filter(F.transform(head, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
-    codes = F.array_distinct(F.transform(F.when(at > 0, seen(PROCESS_EXIT)).otherwise(seen(EXIT_CODE)), lambda x: x.try_cast("int")))
-    exit_code = F.when(as_json, F.when(parsed.session_id.isNull(), parsed.exit_code)).when(F.size(codes) == 1, F.get(codes, F.lit(0)))
-    plain = F.when(F.size(codes) == 1, F.array_join(F.filter(lines, lambda x: ~F.rlike(x, F.lit(EXIT_CODE))), "\n")).otherwise(c)
-    text = F.when(at > 0, F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n")).otherwise(plain)
-    return F.struct(exit_code.alias("exit_code"), exit_code.isNotNull().alias("finished"), F.when(as_json, F.coalesce(parsed.output, F.lit(""))).otherwise(text).alias("body"))
+    result = lambda code, body: F.struct(code.alias("exit_code"), code.isNotNull().alias("finished"), body.alias("body"))
+    told = lambda lines, pattern: F.array_distinct(F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(pattern))), lambda x: F.regexp_extract(x, pattern, 1).try_cast("int")))
+    code = lambda codes: F.when(F.size(codes) == 1, F.get(codes, F.lit(0)))
+
+    def headed(lines: Column, at: Column) -> Column:
+        return result(code(told(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), PROCESS_EXIT)), F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n"))
+
+    def plain(lines: Column) -> Column:
+        rest = F.array_join(F.filter(lines, lambda x: ~F.rlike(x, F.lit(EXIT_CODE))), "\n")
+        return let(code(told(lines, EXIT_CODE)), lambda n: result(n, F.when(n.isNotNull(), rest).otherwise(c)))
+
+    as_json = let(F.from_json(c, "output string, exit_code int, session_id string"), lambda p: result(F.when(p.session_id.isNull(), p.exit_code), F.coalesce(p.output, F.lit(""))))
+    as_text = let(trimmed_lines(c), lambda lines: let(F.array_position(lines, "Output:").cast("int"), lambda at: F.when(at > 0, headed(lines, at)).otherwise(plain(lines))))
+    return F.when(F.rlike(c, F.lit(r"\A\s*\{")), as_json).otherwise(as_text)
 
 
 def parse_git_output(operation: str | Column, output: str | Column) -> Column:
     """map of branch, status, git_head or tag; null where the output is not what the query prints. Blank lines and notices of an exit do not count."""
     op = col(operation)
-    lines = F.filter(trimmed_lines(output), lambda x: (x != "") & ~F.rlike(x, F.lit(EXIT_CODE)))
-    first, one = F.get(lines, F.lit(0)), F.size(lines) == 1
     branch_ok = lambda b: F.rlike(b, F.lit(r"\A[A-Za-z0-9][A-Za-z0-9._/-]{0,255}\z")) & ~F.contains(b, F.lit("..")) & ~F.endswith(b, F.lit(".lock"))
-    named = F.substring(first, F.lit(4), F.length(first))
-    branch = F.when(F.contains(named, F.lit("...")), F.substring_index(named, "...", 1)).otherwise(F.substring_index(named, " ", 1))
-    entries_ok = F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[MADRCUT?!]{1,2}[ \t]+[^\r\n]+\z")))
     pair = lambda k, v: F.create_map(F.lit(k), v)
-    return (
-        F.when((op == "status") & F.startswith(first, F.lit("## ")) & branch_ok(branch) & entries_ok, F.create_map(F.lit("branch"), branch, F.lit("status"), F.when(F.size(lines) > 1, "dirty").otherwise("clean")))
-        .when((op == "head") & one & F.rlike(first, F.lit(r"\A(?:[0-9a-f]{40}|[0-9a-f]{64})\z")), pair("git_head", first))
-        .when((op == "branch") & one & branch_ok(first), pair("branch", first))
-        .when((op == "tag") & one & F.rlike(first, F.lit(r"\A[A-Za-z0-9][A-Za-z0-9._/+-]{0,255}\z")), pair("tag", first))
-    )
+
+    def status(lines: Column, first: Column) -> Column:
+        named = F.substring(first, F.lit(4), F.length(first))
+        entries_ok = F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[MADRCUT?!]{1,2}[ \t]+[^\r\n]+\z")))
+        shown = lambda b: F.create_map(F.lit("branch"), b, F.lit("status"), F.when(F.size(lines) > 1, "dirty").otherwise("clean"))
+        branch = F.when(F.contains(named, F.lit("...")), F.substring_index(named, "...", 1)).otherwise(F.substring_index(named, " ", 1))
+        return let(branch, lambda b: F.when(F.startswith(first, F.lit("## ")) & branch_ok(b) & entries_ok, shown(b)))
+
+    def read(lines: Column, first: Column) -> Column:
+        one = F.size(lines) == 1
+        return (
+            F.when(op == "status", status(lines, first)).when((op == "head") & one & F.rlike(first, F.lit(r"\A(?:[0-9a-f]{40}|[0-9a-f]{64})\z")), pair("git_head", first))
+            .when((op == "branch") & one & branch_ok(first), pair("branch", first)).when((op == "tag") & one & F.rlike(first, F.lit(r"\A[A-Za-z0-9][A-Za-z0-9._/+-]{0,255}\z")), pair("tag", first))
+        )
+
+    kept = F.filter(trimmed_lines(output), lambda x: (x != "") & ~F.rlike(x, F.lit(EXIT_CODE)))
+    return let(kept, lambda lines: let(F.get(lines, F.lit(0)), lambda first: read(lines, first)))
 
 
 def rooted_path(path: str | Column, base: str | Column) -> Column:
@@ -193,11 +216,11 @@ def patch_targets(patch: str | Column, cwd: str | Column) -> Column:
 
 def patch_outcome(exit_code: str | Column, body: str | Column) -> Column:
     """success or failure of a patch by its output; null where the text says nothing or contradicts the exit code."""
-    lines, word = trimmed_lines(body), F.regexp_replace(col(body), r"\A\s+|\s+\z", "")
-    listed = (F.size(lines) > 1) & (F.get(lines, F.lit(0)) == PATCH_LISTED) & F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[AMDR] \s*\S")))
+    word, code = F.regexp_replace(col(body), r"\A\s+|\s+\z", ""), col(exit_code)
+    changes = lambda lines: F.forall(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rlike(x, F.lit(r"\A[AMDR] \s*\S")))
+    listed = let(trimmed_lines(body), lambda lines: (F.size(lines) > 1) & (F.get(lines, F.lit(0)) == PATCH_LISTED) & changes(lines))
     said = F.when((word == "Done!") | listed, "success").when(word == "Failed!", "failure")
-    code = col(exit_code)
-    return F.when(code.isNull(), said).when(code == 0, F.when(said == "success", said)).when(F.coalesce(said, F.lit("failure")) == "failure", "failure")
+    return let(said, lambda s: F.when(code.isNull(), s).when(code == 0, F.when(s == "success", s)).when(F.coalesce(s, F.lit("failure")) == "failure", "failure"))
 
 
 def strip_ambient(text: str | Column, rule_version: int = 4) -> Column:
