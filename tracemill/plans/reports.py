@@ -458,4 +458,4 @@ def event_recency(spark, sf):
     return e.groupBy(recency_bucket(F.lit(REFERENCE).cast("timestamp"), F.col("ts")).alias("bucket")).agg(F.count("*").alias("events"))
 
 
-from tracemill.plans import placements, views  # noqa: E402, F401  register their queries here, too
+from tracemill.plans import placements, texts, views  # noqa: E402, F401  register their queries here, too
