@@ -225,11 +225,12 @@ def earliest_milestones(spark, sf):
     return top.select(F.posexplode("ids").alias("at", "milestone_id")).select((F.col("at") + 1).cast("long").alias("place"), "milestone_id")
 
 
-@query("""SELECT * FROM (SELECT session_id % 50 AS run_id, round(coalesce(sum(cost), 0), 4) AS known_subtotal, bool_and(cost IS NOT NULL) AS complete, count(*) AS rows, CASE WHEN bool_and(cost IS NOT NULL) THEN round(sum(cost), 4) END AS total FROM priced GROUP BY 1) p
+@query("""SELECT * FROM (SELECT session_id % 50 AS run_id, round(coalesce(sum(cost), 0), 8) AS known_subtotal, bool_and(cost IS NOT NULL) AS complete, count(*) AS rows, CASE WHEN bool_and(cost IS NOT NULL) THEN round(sum(cost), 8) END AS total FROM priced GROUP BY 1) p
 JOIN (SELECT session_id % 50 AS run_id, sum(total_tokens) AS total_tokens, sum(output_tokens) AS output_tokens FROM usage GROUP BY 1) u USING (run_id)""", fx.USAGE, fx.PRICES_SQL, INTERVALS, PRICED)
 def run_costs(spark, sf):
+    """Costs of runs; they are multiples of 5e-7, so rounding to 8 places meets no ties."""
     r = accounting.review_run_usage(_priced(spark, sf).withColumn("run_id", F.col("session_id") % 50))
-    return r.select("run_id", F.round("known_subtotal", 4).alias("known_subtotal"), "complete", "rows", F.round("total", 4).alias("total"), "total_tokens", "output_tokens")
+    return r.select("run_id", F.round("known_subtotal", 8).alias("known_subtotal"), "complete", "rows", F.round("total", 8).alias("total"), "total_tokens", "output_tokens")
 
 
 ASKS = r"""asks AS (SELECT session_id % 3 AS project_id, session_id * 1000 + turn_no AS turn, session_id % 2 = 0 AS early, turn_no % 3 = 0 AS placed, lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) AS q FROM turns),
