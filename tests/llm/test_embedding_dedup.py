@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tracemill.llm.common import connected_components
-from tracemill.llm.embedding_dedup import near_vectors
+from tracemill.llm.embedding_dedup import _keyed, clumps, near_vectors
 
 
 def brute(rows, least=0.93):
@@ -66,6 +66,29 @@ def test_exact_in_a_large_label(spark, block):
     assert links.sum() >= 1200 and got == {i: (int(links[i].sum()), up[i], up[i] == i) for i in range(len(x))}
 
 
+@pytest.mark.parametrize("passes, window, block", [(1, 1, 40), (3, 8, 150)])
+def test_passes_never_change_the_result(spark, passes, window, block):
+    """Crowded and empty regions, two lengths, labels above and below a block: the same rows whatever the passes find."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for c in range(40):
+        base = rng.normal(size=12 if c % 5 else 20)
+        rows += [(len(rows), (base + rng.normal(size=len(base)) * 0.05).tolist(), int(c % 2)) for _ in range(rng.integers(1, 4) if c % 8 else 120)]
+    rows += [(len(rows) + k, rng.normal(size=12).tolist(), 7) for k in range(30)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), passes=passes, window=window, block=block).collect()}
+    assert got == brute(rows)
+
+
+def test_clumps_of_the_passes(spark):
+    """Passes join only what links join, and find at least 95 of 100 pairs that stand alone."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 32))
+    other = base + rng.normal(size=base.shape) * 0.05
+    frame = spark.createDataFrame([(i, 1, x.tolist(), 1, 32) for i, x in enumerate(np.concatenate([base, other]))], "cid long, size long, embedding array<double>, label long, dim int")
+    got = {r.id: r.component for r in clumps(_keyed(frame.select("label", "dim", "cid", "size", "embedding"), 4), 4, 32, 0.93, 3).collect()}
+    assert all(i % 300 == c % 300 for i, c in got.items()) and len(got) >= 0.95 * 600
+
+
 def test_nulls_and_empty(spark):
     frame = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(((r.vec_id or -1), r.n_links, r.component_id, r.kept) for r in near_vectors(frame).collect())
