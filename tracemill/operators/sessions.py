@@ -143,16 +143,16 @@ def session_summary(obs: DataFrame, n: int = 32) -> DataFrame:
     label = F.initcap(F.regexp_replace("kind", "_", " "))
     rows = obs.withColumn("typed", typed_outcome()).withColumn("line", fact_text(label, F.col("typed"), field("exit_code"), F.col("excerpt")))
     order = [F.asc("sequence"), F.asc("revision_id")]
-    open_failures = session_recovery_links(obs).where("NOT recovered").withColumn("line", fact_text(label, F.lit("failure"), field("exit_code"), F.col("excerpt")))
-    parts = {
-        "operations": rows.where(F.col("kind").isin("file", "commit", "release", "artifact", "deployment", "command")), "verifications": rows.where(F.col("kind").isin("verification", "test", "build", "lint")),
-        "errors": rows.where((F.col("kind") == "error") | (F.col("typed") == "failure")), "unresolved": open_failures,
-    }
-    out = None
-    for name, part in parts.items():
-        block = summary_block(part, ("session_id",), order, ("revision_id", "line"), n).withColumn("block", F.lit(name))
-        out = block if out is None else out.unionByName(block)
-    return out
+    kind = F.col("kind")
+    blocks = (
+        F.when(kind.isin("file", "commit", "release", "artifact", "deployment", "command"), "operations"), F.when(kind.isin("verification", "test", "build", "lint"), "verifications"),
+        F.when((kind == "error") | (F.col("typed") == "failure"), "errors"),
+    )
+    item = ("session_id", "sequence", "revision_id", "line", "block")
+    rows = rows.withColumn("block", F.explode(F.array_compact(F.array(*blocks)))).select(*item)
+    line = fact_text(label, F.lit("failure"), field("exit_code"), F.col("excerpt"))
+    unresolved = session_recovery_links(obs).where("NOT recovered").withColumn("line", line).withColumn("block", F.lit("unresolved")).select(*item)
+    return summary_block(rows.unionByName(unresolved), ("session_id", "block"), order, ("revision_id", "line"), n)
 
 
 def latest_session(candidates: DataFrame, now: Column, window_minutes: float = 5.0) -> DataFrame:

@@ -8,6 +8,7 @@ from tracemill.functions import scalars
 from tracemill.operators import accounting, facts, lineage, problems, projects, search, sessions, windows
 from tracemill.plans import fixtures as fx
 from tracemill.plans.reports import INTERVALS, PRICED, _priced, _tree, query
+from tracemill.streaming import streams
 
 SESS = """sess AS (SELECT 'a' AS provider, session_id, min(project_id) AS project_id, min(ts) AS started_at, max(ts) AS ended_at,
  CASE WHEN session_id % 11 = 0 THEN 'unreadable' WHEN session_id % 7 = 0 THEN 'missing' ELSE 'indexed' END AS terminal_state, CASE WHEN session_id % 3 = 0 THEN 'unavailable' ELSE 'available' END AS availability FROM obs GROUP BY session_id),
@@ -55,6 +56,25 @@ def terminal_states(spark, sf):
     return projects.terminal_counts(_sessions(spark, sf))
 
 
+@query("""SELECT project_id, count(*) FILTER (WHERE state = 'indexed') AS indexed, count(*) FILTER (WHERE state = 'unsupported') AS unsupported, count(*) FILTER (WHERE state = 'missing') AS missing,
+ count(*) FILTER (WHERE state = 'unreadable') AS unreadable, count(*) FILTER (WHERE state = 'ambiguous') AS ambiguous
+FROM (SELECT project_id, CASE WHEN failures > 0 AND session_id % 3 = 0 THEN 'unreadable' WHEN session_id % 4 = 1 THEN 'missing' WHEN session_id % 4 = 2 THEN 'ambiguous' WHEN session_id % 4 = 3 THEN 'unsupported' ELSE 'indexed' END AS state
+ FROM (SELECT session_id, min(project_id) AS project_id, count(*) FILTER (WHERE outcome = 'failure') AS failures FROM obs GROUP BY 1) o) s GROUP BY 1""", fx.OBS)
+def source_states(spark, sf):
+    failures = F.count_if(F.coalesce(F.col("outcome") == "failure", F.lit(False)))
+    s = fx.obs(spark, sf).groupBy("session_id").agg(F.min("project_id").alias("project_id"), failures.alias("failures"))
+    k = F.col("session_id") % 4
+    source = F.when(k == 1, "missing").when(k == 2, "ambiguous").when(k == 3, "unsupported").otherwise("present")
+    state = sessions.terminal_state(F.when(F.col("session_id") % 3 == 0, F.col("failures")).otherwise(0), F.lit(0), source)
+    return projects.terminal_counts(s.withColumn("terminal_state", state))
+
+
+@query("""SELECT start - to_hours(back) AS window_start, start - to_hours(back) + INTERVAL 6 HOUR AS window_end, kind, CAST(sum(version) AS BIGINT) AS version, count(*) AS rows
+FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS start, kind, version, unnest([0, 2, 4]) AS back FROM obs) o GROUP BY 1, 2, 3""", fx.OBS)
+def sliding_hours(spark, sf):
+    return streams.usage_by_window(fx.obs(spark, sf), "ts", "6 hours", "2 hours", keys=("kind",), value="version")
+
+
 @query("SELECT project_id, CAST(min(started_at) AS VARCHAR)[1:10] AS started_raw, CAST(max(ended_at) AS VARCHAR)[1:10] AS ended_raw FROM sess GROUP BY 1", fx.OBS, SESS)
 def project_spans(spark, sf):
     s = _sessions(spark, sf).withColumn("started_raw", F.date_format("started_at", "yyyy-MM-dd")).withColumn("ended_raw", F.date_format("ended_at", "yyyy-MM-dd"))
@@ -307,6 +327,19 @@ def history_edges(spark, sf):
     return problems.edges(decisions=d, loops=s)
 
 
+@query("""SELECT 'event' AS from_kind, CAST(revision_id AS VARCHAR) AS from_id, 'decisions' AS relation, 'd' || CAST(component AS VARCHAR) AS to_id FROM obs
+UNION ALL SELECT 'event', CAST(revision_id AS VARCHAR), 'loops', 'l' || CAST(session_id AS VARCHAR) FROM obs WHERE outcome = 'failure'
+UNION ALL SELECT 'session', session_id, 'decisions', 'd' || CAST(component AS VARCHAR) FROM (SELECT DISTINCT CAST(session_id AS VARCHAR) AS session_id, component FROM obs) s
+UNION ALL SELECT DISTINCT 'session', CAST(session_id AS VARCHAR), 'loops', 'l' || CAST(session_id AS VARCHAR) FROM obs WHERE outcome = 'failure'""", fx.OBS)
+def history_sources(spark, sf):
+    """Events without a loop have an empty array, sessions gather what their events name."""
+    loop, decision = F.concat(F.lit("l"), F.col("session_id").cast("string")), F.concat(F.lit("d"), F.col("component").cast("string"))
+    o = fx.obs(spark, sf).withColumn("decision", decision).withColumn("loop", F.when(F.col("outcome") == "failure", loop))
+    events = o.select(F.col("revision_id").cast("string").alias("id"), F.array("decision", "decision").alias("decisions"), F.array_compact(F.array("loop")).alias("loops"))
+    held = o.groupBy(F.col("session_id").cast("string").alias("id")).agg(F.collect_set("decision").alias("decisions"), F.collect_set("loop").alias("loops"))  # ten components, one loop
+    return problems.edges(events=events, sessions=held)
+
+
 @query("""SELECT project_id, revision_id, id AS first_record FROM (SELECT *, row_number() OVER (PARTITION BY project_id, revision_id ORDER BY id, pos) AS rn FROM (
  SELECT o_custkey % 5 AS project_id, o_orderkey AS id, unnest([o_custkey, o_custkey + 5, o_custkey]) AS revision_id, unnest([0, 1, 2]) AS pos FROM orders) d) r WHERE rn = 1""")
 def record_revisions(spark, sf):
