@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import normalize_identity
-from tracemill.operators import problems, projects
+from tracemill.operators import problems, projects, scans
 from tracemill.operators.graphs import connected_components
 from tracemill.sources import transcripts
 
@@ -96,6 +96,35 @@ def test_few_candidates_are_compared(spark):
     assert rarest <= 3 * 40
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_grams_are_not_broadcast(spark, few, monkeypatch):
+    """The grams of all questions are never sent to the driver, whatever the planner takes for their size: only counted rows are."""
+    monkeypatch.setattr(scans, "FEW", few)
+    q = spark.createDataFrame([("p", i, f"text {i} of many words") for i in range(30)], "project_id string, question_id long, q string")
+    n = spark.createDataFrame([("p", f"n{i}", f"text {i}") for i in range(9)] + [("p", "of", "of")], "project_id string, node_id string, n string")
+    found = problems.contained_texts(problems.materialize(q), problems.materialize(n))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("BroadcastExchange")[1:] if "Generate explode" in x.split("FileScan")[0]]
+    assert not sent
+    assert ("Join [project_id" in plan) and found.count() == 30 + sum(1 for i in range(9) for k in range(30) if str(k).startswith(str(i)))
+
+
+def test_placement_of_equal_texts(spark):
+    """Nodes of one text count as several, equal questions are placed alike, and a node that repeats its id in another text counts once."""
+    q = spark.createDataFrame([("p", 1, "say abc"), ("p", 2, "Say  abc"), ("p", 3, "xy"), ("r", 4, "say abc"), ("s", 5, "ab cdefgh")], "project_id string, question_id long, question string")
+    n = spark.createDataFrame([("p", "a", 1, "abc"), ("p", "b", 2, "ABC"), ("p", "c", 9, "xy"), ("p", "d", 3, "XY"), ("r", "e", 1, "abc"), ("s", "f", 1, "ab"), ("s", "f", 1, "cdefgh")], "project_id string, node_id string, node_order int, question string")
+    got = {r.question_id: (r.action, r.target) for r in problems.recommend_placement(q, n).collect()}
+    assert got == {1: ("keep_pending", None), 2: ("keep_pending", None), 3: ("merge", "d"), 4: ("child", "e"), 5: ("child", "f")}
+
+
+def test_long_texts_give_all_grams(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(200))
+    for size in (1, 6):
+        for n in (size, 63, 64, 65, 64 + size - 1, 64 + size, 200):
+            d = spark.createDataFrame([(1, text[:n])], "i int, t string")
+            assert {r.gram for r in problems._grams(d, ["i"], "t", size).collect()} == {text[k : k + size] for k in range(n - size + 1)}
+
+
 def test_sketch_bounds(spark):
     rng = random.Random(5)
     rows = [("p", f"m{int(rng.paretovariate(0.7)) % 3000}") for _ in range(20_000)] + [("q", f"m{i % 7}") for i in range(100)] + [("p", None)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import candidate_id, normalize_identity
 from tracemill.operators.graphs import connected_components
-from tracemill.operators.scans import positioned
+from tracemill.operators.scans import join_few, positioned
 from tracemill.sources.shared import discard, materialize
 
 # Replies that only steer a conversation, and envelopes that hold no question.
@@ -49,10 +49,11 @@ def unplaced_turns(turns: DataFrame, nodes: DataFrame, refs: Sequence[str] = ("s
     return turns.join(used, on, "left_anti")
 
 
-def _grams(df: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFrame:
-    """The distinct substrings of ``size`` code points of each row's text; none of shorter texts."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))
-    return df.where(F.length(text) >= size).select(*keys, F.explode(grams).alias("gram"))
+def _grams(df: DataFrame, keys: Sequence[str], text: str, size: int, step: int = 64) -> DataFrame:
+    """The distinct substrings of ``size`` code points of each row's text; none of shorter texts. Texts are cut every ``step`` first, as a substring is looked for from its text's start."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1), F.lit(step)), lambda i: F.substring(text, i, F.lit(step + size - 1)))
+    grams = F.flatten(F.transform(pieces, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, F.lit(size)))))
+    return df.where(F.length(text) >= size).select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def contained_texts(questions: DataFrame, nodes: DataFrame, by: Sequence[str] = ("project_id",), question: str = "q", node: str = "n", size: int = 6) -> DataFrame:
@@ -60,37 +61,46 @@ def contained_texts(questions: DataFrame, nodes: DataFrame, by: Sequence[str] =
 
     An inverted index instead of all pairs: of each node the gram of ``size`` code points that the fewest questions hold is its key, and only questions with that
     gram are compared with it. A node of which some gram is in no question is out. Shorter nodes are looked up whole among the questions' substrings of their length.
-    Ids are unique within ``by``.
+    Ids are unique within ``by``. What grams are joined to is written and counted, as the planner takes a row's grams for one row and would broadcast them all.
     """
     keys = [*by, "question_id"]
     q, n = questions.select(*keys, F.col(question).alias("__q")), nodes.select(*by, "node_id", F.col(node).alias("__n")).where("__n <> ''")
     long = n.where(F.length("__n") >= size)
     held = _grams(q, keys, "__q", size)
-    wanted = _grams(long, [*by, "node_id"], "__n", size)
-    often = held.join(wanted.select(*by, "gram").distinct(), [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(F.count("*").alias("many"))
+    wanted = materialize(_grams(long, [*by, "node_id"], "__n", size))
+    some = materialize(wanted.select(*by, "gram").distinct())
+    often = materialize(join_few(held, some, [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(F.count("*").alias("many")))
     anchors = wanted.join(often, [*by, "gram"], "left").groupBy(*by, "node_id").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("m"))
-    anchors = anchors.where("m.many > 0").select(*by, "node_id", F.col("m.gram").alias("gram"))
-    met = held.join(anchors, [*by, "gram"]).select(*keys, "node_id").join(q, keys).join(long, [*by, "node_id"]).where(F.contains("__q", "__n")).select(*keys, "node_id")
-    short = n.where(F.length("__n") < size)
-    for length in range(1, size):
-        some = short.where(F.length("__n") == length).select(*by, "node_id", F.col("__n").alias("gram"))
-        met = met.unionByName(_grams(q, keys, "__q", length).join(some, [*by, "gram"]).select(*keys, "node_id"))
+    anchors = materialize(anchors.where("m.many > 0").select(*by, "node_id", F.col("m.gram").alias("gram")))
+    discard(wanted, some, often)
+    met = join_few(held, anchors, [*by, "gram"]).select(*keys, "node_id").join(q, keys).join(long, [*by, "node_id"]).where(F.contains("__q", "__n")).select(*keys, "node_id")
+    short = materialize(n.where(F.length("__n") < size).select(*by, "node_id", F.col("__n").alias("gram")))
+    for length in sorted(r[0] for r in short.select(F.length("gram")).distinct().collect()):
+        met = met.unionByName(join_few(_grams(q, keys, "__q", length), short.where(F.length("gram") == length), [*by, "gram"]).select(*keys, "node_id"))
     return met
 
 
 def recommend_placement(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where a question belongs (J17): merge with a node of the same text (the first by order), child of the only node
-    whose question it contains, else pending. Containment is looked for within a project only. question_id is unique.
+    whose question it contains, else pending. Containment is looked for within a project only, once for equal texts. question_id is unique.
     """
     q = questions.withColumn("__q", normalize_identity("question"))
     n = nodes.select("project_id", "node_id", "node_order", normalize_identity("question").alias("__n")).where("__n <> ''")
-    same = q.join(n, (q.project_id == n.project_id) & (q["__q"] == n["__n"])).groupBy("question_id").agg(F.min_by("node_id", F.struct("node_order", "node_id")).alias("same_node"))
-    inside = contained_texts(q, n, question="__q", node="__n").groupBy("question_id").agg(F.countDistinct("node_id").alias("held"), F.min("node_id").alias("held_node"))
-    rows = q.join(same, "question_id", "left").join(inside, "question_id", "left")
-    action = F.when(F.col("same_node").isNotNull(), "merge").when(F.col("held") == 1, "child").otherwise("keep_pending")
+    # dealt to all tasks, as a row's grams are many more bytes than the row
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = materialize(q.select("project_id", "__q").distinct().repartition(parts).withColumn("question_id", F.monotonically_increasing_id()))
+    # of the nodes of one text the least and the largest tell whether a question holds a single one
+    said = n.groupBy("project_id", "__n").agg(F.min_by("node_id", F.struct("node_order", "node_id")).alias("same_node"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))
+    said = materialize(said.withColumn("node_id", F.monotonically_increasing_id()))
+    pairs = contained_texts(asked, said, question="__q", node="__n").join(said.select("project_id", "node_id", "lo", "hi"), ["project_id", "node_id"])
+    inside = pairs.groupBy("project_id", "question_id").agg(F.min("lo").alias("held_node"), (F.min("lo") == F.max("hi")).alias("alone"))
+    placed = asked.join(said.select("project_id", F.col("__n").alias("__q"), "same_node"), ["project_id", "__q"], "left").join(inside, ["project_id", "question_id"], "left").drop("question_id")
+    rows = q.join(materialize(placed), ["project_id", "__q"], "left")
+    discard(asked, said)
+    action = F.when(F.col("same_node").isNotNull(), "merge").when(F.col("alone"), "child").otherwise("keep_pending")
     return rows.select(
         *questions.columns, action.alias("action"), F.when(action == "keep_pending", "low").otherwise("high").alias("confidence"),
-        F.coalesce("same_node", F.when(F.col("held") == 1, F.col("held_node"))).alias("target"),
+        F.coalesce("same_node", F.when(F.col("alone"), F.col("held_node"))).alias("target"),
     )
 
 

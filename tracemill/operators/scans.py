@@ -18,6 +18,15 @@ from pyspark.sql import types as T
 from tracemill.sources.shared import materialize
 
 
+#: Rows that are sent to every task at most, where they are counted first.
+FEW = 200_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few``, which is counted and sent to the tasks only while it has at most FEW rows; otherwise both are shuffled and neither is sent."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW else few.hint("merge"), on, how)
+
+
 def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` written in ranges of its order, with the number of the range in ``__part``. Rows equal in ``by`` and ``order`` are in one range."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
