@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import accounting, facts, lineage, problems, projects, quality, search, sessions, turns, windows
+from tracemill.operators import accounting, facts, lineage, problems, projects, quality, scans, search, sessions, turns, windows
 
 T = lambda s: dt.datetime.fromisoformat(s)
 OBS = "session_id string, provider string, project_id string, sequence long, revision_id string, ts timestamp, kind string, operation string, outcome string, component string, path string, fields map<string,string>, excerpt string"
@@ -83,6 +83,21 @@ def test_heartbeats(spark):
     assert got == {"m1": (15, 1, 0), "m2": (2, 1, 1)}
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_usage_of_a_listing_is_not_dealt_to_one_task(spark, most, monkeypatch):
+    monkeypatch.setattr(scans, "FEW", most)
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=10 * i) for i in range(6)]
+    h = spark.createDataFrame([(k, d, float(i), "initial") for k in ("l", "m") for i, d in enumerate(dates)], "listing_id string, date date, rate double, event string")
+    use = spark.createDataFrame([(i, k, T("2023-12-28") + dt.timedelta(hours=13 * i)) for i in range(150) for k in ("l", "l", "m", "x", None)], "i int, listing_id string, priced_at timestamp")
+    got = accounting.price_asof(use, h)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "hashpartitioning(listing_id" in x]  # one is the window over prices
+    assert len([x for x in dealt if "__day" not in x]) == 1
+    want = lambda k, at: max((d for d in dates if d <= at.date()), default=None) if k in ("l", "m") else None
+    rows = got.collect()
+    assert len(rows) == 750 and {(r.i, r.listing_id, r.date) for r in rows} == {(r.i, r.listing_id, want(r.listing_id, r.priced_at)) for r in rows}
+
+
 def test_prices(spark):
     h = spark.createDataFrame([("l", dt.date(2024, 1, 1), 1.0, "initial"), ("l", dt.date(2024, 2, 1), 1.0, "refresh"), ("l", dt.date(2024, 3, 1), None, "correction")], "listing_id string, date date, rate double, event string")
     use = spark.createDataFrame([("l", T("2023-12-31T23:59:59")), ("l", T("2024-03-01")), ("l", T("2024-02-10")), ("x", T("2024-02-10"))], "listing_id string, priced_at timestamp")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import millis, valid_usage
+from tracemill.operators.scans import few
 
 CLASSES = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
@@ -121,12 +122,18 @@ def price_intervals(history: DataFrame, listing: str = "listing_id", date: str =
 def price_asof(usage: DataFrame, history: DataFrame, listing: str = "listing_id", at: str = "priced_at", date: str = "date") -> DataFrame:
     """The price in force at midnight UTC of ``at`` (J4): joined by listing and interval, at most one row a usage.
 
-    review: true where the price is a correction or backfill. Usage before any price keeps null rates.
+    review: true where the price is a correction or backfill. Usage before any price keeps null rates. A history of at most ``scans.FEW`` rows is sent to the
+    tasks; with a longer one usage is dealt by listing and day, as a listing's usage may be larger than a task.
     """
     h = price_intervals(history, listing, date).withColumnRenamed(listing, "__listing")
-    day = F.to_date(F.col(at))
-    on = (F.col(listing) == F.col("__listing")) & (day >= F.col(date)) & (F.col("until").isNull() | (day < F.col("until")))
-    return usage.join(h, on, "left").drop("__listing", "until").withColumn("review", F.coalesce(F.col("event").isin("correction", "backfill"), F.lit(False)))
+    u = usage.withColumn("__day", F.to_date(F.col(at)))
+    within = (F.col("__day") >= F.col(date)) & (F.col("until").isNull() | (F.col("__day") < F.col("until")))
+    if few(history):
+        priced = u.join(F.broadcast(h), (F.col(listing) == F.col("__listing")) & within, "left").drop("__listing")
+    else:
+        days = u.select(F.col(listing).alias("__listing"), F.col("__day")).distinct().join(h, "__listing").where(within).withColumnRenamed("__day", "__at")
+        priced = u.join(days, (F.col(listing) == F.col("__listing")) & (F.col("__day") == F.col("__at")), "left").drop("__listing", "__at")
+    return priced.drop("until", "__day").withColumn("review", F.coalesce(F.col("event").isin("correction", "backfill"), F.lit(False)))
 
 
 def price_period_check(sessions: DataFrame, history: DataFrame, rates: Sequence[str], listing: str = "listing_id", start: str = "started_at", end: str = "ended_at") -> DataFrame:
@@ -137,6 +144,7 @@ def price_period_check(sessions: DataFrame, history: DataFrame, rates: Sequence[
     bounds = history.withColumn("__differs", before.isNotNull() & (F.to_json(now, {"ignoreNullFields": "false"}) != F.to_json(before, {"ignoreNullFields": "false"})))
     bounds = bounds.where("__differs").select(F.col(listing).alias("__listing"), F.col("date").cast("timestamp").alias("__at"))
     keys = sessions.withColumn("__key", F.xxhash64(listing, start, end))
+    bounds = F.broadcast(bounds) if few(history) else bounds  # else a listing's periods would meet in one task
     hit = keys.select("__key", listing, start, end).distinct().join(bounds, (F.col(listing) == F.col("__listing")) & (F.col("__at") > F.col(start)) & (F.col("__at") <= F.col(end)), "left_semi")
     return keys.join(hit.select("__key", F.lit(True).alias("ambiguous")), "__key", "left").drop("__key").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 

@@ -22,9 +22,13 @@ from tracemill.sources.shared import materialize
 FEW = 200_000
 
 
-def join_few(rows: DataFrame, few: DataFrame, on, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``few``, which is counted and sent to the tasks only while it has at most FEW rows; otherwise both are shuffled and neither is sent."""
-    return rows.join(F.broadcast(few) if few.count() <= FEW else few.hint("merge"), on, how)
+def few(df: DataFrame) -> bool:
+    return df.count() <= FEW
+
+
+def join_few(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``other``, which is counted and sent to the tasks only while it has at most FEW rows; otherwise both are shuffled and neither is sent."""
+    return rows.join(F.broadcast(other) if few(other) else other.hint("merge"), on, how)
 
 
 def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
