@@ -73,6 +73,22 @@ def test_findings(spark):
     assert got == {"named_secret": 2, "private_key": 1, "bearer_credential": 1, "openai_key": 1, "connection_url": 1, "high_entropy_token": 1}
 
 
+def test_findings_work_each_rule_out_once(spark):
+    """Only rows that a search selects go to Python, and a rule's text is not worked out again by the rules after it."""
+    frame = spark.createDataFrame([(t, i % 2) for i, (t, _) in enumerate(CASES)], "text string, k int")
+    plan = r.redaction_findings(frame, keys=("k",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r.CONNECTION_URL) <= 2 and plan.count("_named_udf(CASE WHEN") >= 1 and plan.count("_named_udf(text") == 0
+
+
+@pytest.mark.parametrize("text", ["PASSWORD = a\tb", "Cookie\"  :x", "plain text: none", "key=\n", "BEARER abcdefghijklmnop", "BeArEr  abcdefghijkl", "\u212aey = abc", "a" * 39 + "=", "zz " + "aB3/" * 12, None, ""])
+def test_plain_parts_rule_nothing_out(spark, text):
+    frame = spark.createDataFrame([(text,)], "text string")
+    named = r._named(text) if text else ""
+    got = {x.rule: x.findings for x in r.redaction_findings(frame).collect()}
+    assert got["named_secret"] == named.count("[REDACTED:NAMED_SECRET]") and got["bearer_credential"] == len(r._bearer.findall(named))
+    assert got["high_entropy_token"] == 0 or "aB3/" in text
+
+
 @pytest.mark.parametrize("text,want", [
     ("see /etc/passwd, and", "see [REDACTED:ABSOLUTE_PATH], and"), ("'/a b/c' x", "'[REDACTED:ABSOLUTE_PATH]' x"), ("C:\\x\\y z", "[REDACTED:ABSOLUTE_PATH] z"), ("file:///a/b", "[REDACTED:ABSOLUTE_PATH]"), ("<b>x</b> a/b // c", "<b>x</b> a/b // c"),
 ])
