@@ -67,3 +67,15 @@ def test_nulls_repeats_empty(spark):
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start) for r in grammar.encode_documents(frame, PATH).collect())
     assert got == [(-1, 0), (3, 2), (3, 4), (3, 6)]
     assert grammar.encode_documents(frame.limit(0), PATH).count() == 0
+
+
+def test_a_word_is_made_once_whatever_follows_it():
+    """Words before marks are the same chunk, so the library gets each once; ids stay those of whole texts."""
+    table = grammar.library_table(PATH)
+    made = []
+    make, table.make = table.make, lambda chunks: (made.extend(chunks), make(chunks))[1]
+    texts = ["Some plain words", "some. words, plain! words; don't (words) words<|endoftext|>words.", "a.b.c 'tis x-y_z, it's\n- words...\n\nplain", "é. ü, words\u0301. 12.5 a1. b"]
+    ids, counts = table.encode(texts)
+    assert made.count(" words") == 1 and not [c for c in made if c.startswith(" words") and c[6:7] in tuple(".,;!)")]
+    want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == want[0] and ids.tolist() == sum(want, [])

@@ -228,8 +228,8 @@ class ChunkTable:
     ones in a dictionary. The table is emptied at ``limit`` chunks, so memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], limit: int = CACHE_LIMIT):
-        self.make, self.special, self.limit = make, special, limit
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], limit: int = CACHE_LIMIT, fine: bool = False):
+        self.make, self.special, self.limit, self.fine = make, special, limit, fine
         self._split = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(special, key=len, reverse=True))) if special else None
         self._clear(limit)
 
@@ -243,10 +243,13 @@ class ChunkTable:
         self.flat = np.zeros(1 << 12, np.uint32)
 
     def cuts(self, data: bytes, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where chunks start: before a space or line end that follows something else, at each text and around special tokens."""
+        """Where chunks start: before a space or line end that follows something else, at each text and around special tokens; with ``fine`` also
+        before a mark that follows a letter, so that a word is made once, whatever follows it."""
         cut = np.zeros(len(text) + 1, bool)
         cut[1:-1] = ((text[1:] == 32) | (text[1:] == 10)) & ~_BLANK[text[:-1]]
         cut[2:-1] &= ~(_LAST[text[1:-1]] & _LAST_BUT_ONE[text[:-2]])
+        if self.fine:
+            cut[1:-1] |= _LETTER[text[:-1]] & _MARK[text[1:]]
         cut[0] = True
         cut[ends] = True
         if self._split is not None:
@@ -335,6 +338,7 @@ class ChunkTable:
         return ids, np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
 
+_LETTER, _MARK = (np.array([bool(re.match(x, chr(b))) and b < 128 for b in range(256)]) for x in ("[A-Za-z]", r"[!-/:-@\[-`{-~]"))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 

@@ -16,6 +16,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ def library_table(path: str, limit: int = CACHE_LIMIT) -> ChunkTable:
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work burn it
     library = Tokenizer.from_file(path)
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
     words = Tokenizer(library.model)
@@ -74,7 +76,7 @@ def library_table(path: str, limit: int = CACHE_LIMIT) -> ChunkTable:
         starts[order], size[order] = np.cumsum(counts) - counts, counts
         return ids[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(len(ids))], size
 
-    return ChunkTable(make, special, limit)
+    return ChunkTable(make, special, limit, fine=True)
 
 
 def load(path: str) -> ChunkTable:
