@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Rolling, WordHashes, discard, hash_words, materialize, mix, only_wanted, rehashed, shuffle_parts, slices
+from tracemill.llm.common import Rolling, WordHashes, buckets, dealt, discard, hash_words, materialize, mix, only_wanted, rehashed, slices
 from tracemill.llm.linking import link, sketch
 
 _hashes = WordHashes(seed=5)
@@ -100,7 +100,8 @@ def _sets(rows: DataFrame, n: int, limits: Limits) -> DataFrame:
 def _candidates(sets: DataFrame, limits: Limits, hot_sample: int, hot_share: float) -> DataFrame:
     """(key, id, n): the shingles on which classes may be joined, by orders 1 and 2."""
     spark = sets.sparkSession
-    parts = shuffle_parts(spark)
+    # 12 bytes a shingle of a prefix
+    parts = buckets(spark, 12 * limits.prefix(sets.agg(F.sum("n_shingles")).first()[0] or 0))
     some = [np.frombuffer(r.prefix, np.uint64) for r in sets.where("n_shingles > 0").select("prefix").limit(hot_sample).collect()]
     grams, counts = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     # each sampled prefix is a bounded share of a text, so this set is too
@@ -190,8 +191,8 @@ def _candidates(sets: DataFrame, limits: Limits, hot_sample: int, hot_share: flo
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (g.view(np.int64), ids, n)], names=["key", "id", "n"])
 
     packed = sets.select("c1", "n_shingles", "prefix").mapInArrow(pack, "bucket int, grams binary, owners binary, ids binary, sizes binary")
-    met = packed.repartition(parts, "bucket").mapInArrow(meet, "bucket int, grams binary, ids binary, sizes binary, counts binary")
-    return met.repartition(parts, "bucket").mapInArrow(choose, "key long, id long, n int")
+    met = dealt(packed, parts).mapInArrow(meet, "bucket int, grams binary, ids binary, sizes binary, counts binary")
+    return dealt(met, parts).mapInArrow(choose, "key long, id long, n int")
 
 
 def _payload(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
