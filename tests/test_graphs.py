@@ -158,3 +158,22 @@ def test_normalized_placement_ignores_null_projects(spark):
     got = {r.question_id: (r.action, r.target) for r in problems.recommend_placement(q, n).collect()}
     assert got == {1: ("keep_pending", None), 2: ("child", "n")}
     assert n.where(normalize_identity("question") == "why x").count() == 1
+
+
+def test_grams_of_questions_are_not_shuffled(spark, monkeypatch):
+    """However many the nodes are, of the grams of all questions only those pass to a shuffle that a node may want."""
+    monkeypatch.setattr(scans, "FEW", 0)
+    rng, context = random.Random(8), spark.sparkContext
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    asked = [("p", i, text(1500)) for i in range(100)]
+    q = problems.materialize(spark.createDataFrame(asked, "project_id string, question_id long, q string"))
+    n = problems.materialize(spark.createDataFrame([("p", f"n{i}", asked[i][2][40:60]) for i in range(30)], "project_id string, node_id string, n string"))
+
+    def shuffled():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert {(r.question_id, r.node_id) for r in problems.contained_texts(q, n).collect()} == {(i, f"n{i}") for i in range(30)}
+    assert shuffled() - before < 20_000 < problems._grams(q, ["question_id"], "q", 6).count() / 5

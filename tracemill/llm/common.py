@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.graphs import connected_components, rehashed
+from tracemill.operators.scans import only_wanted
 from tracemill.sources.shared import discard, materialize, shared_dir
 
-__all__ = ["connected_components", "discard", "materialize", "rehashed", "shared_dir"]
+__all__ = ["connected_components", "discard", "materialize", "only_wanted", "rehashed", "shared_dir"]
 
 #: Text handed to numpy at once: bounds a worker's memory whatever the Arrow batches hold.
 SLICE_BYTES = 1 << 20
@@ -159,17 +160,6 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return last[keep]
 
 
-def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``wanted``, before a join that shuffles them; rows of wanted keys all stay.
-
-    The keys are hashed to a bitmap of 2 ** bits places, at most 2 ** (bits - 6) rows of two numbers, so its broadcast is bounded (10.5 MB when full) whatever
-    the input; a fuller bitmap lets more rows pass and changes no result of the join.
-    """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    bitmap = wanted.select(place.alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 AS int))")).alias("__b"))
-    return rows.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bitmap), "__w").where("shiftright(__b, cast(__p & 63 AS int)) & 1 = 1").drop("__p", "__w", "__b")
-
-
 def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
     """``rows`` joined to ``small``, a row for each of the ``keys`` with its number of rows ``m``, which is dropped: a key of more than a thousandth of all rows never lands in one task.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import candidate_id, normalize_identity
 from tracemill.operators.graphs import connected_components
-from tracemill.operators.scans import join_few, positioned
+from tracemill.operators.scans import join_few, only_wanted, positioned
 from tracemill.sources.shared import discard, materialize
 
 # Replies that only steer a conversation, and envelopes that hold no question.
@@ -62,21 +62,24 @@ def contained_texts(questions: DataFrame, nodes: DataFrame, by: Sequence[str] =
     An inverted index instead of all pairs: of each node the gram of ``size`` code points that the fewest questions hold is its key, and only questions with that
     gram are compared with it. A node of which some gram is in no question is out. Shorter nodes are looked up whole among the questions' substrings of their length.
     Ids are unique within ``by``. What grams are joined to is written and counted, as the planner takes a row's grams for one row and would broadcast them all.
+    Questions' grams are many times their text, so they are never shuffled as they are: a bitmap of those wanted goes first, they are counted before they are dealt, and
+    only those of anchors are joined. Pairs meet the short text of the node before the long one of the question.
     """
-    keys = [*by, "question_id"]
+    keys, gram = [*by, "question_id"], [*by, "gram"]
     q, n = questions.select(*keys, F.col(question).alias("__q")), nodes.select(*by, "node_id", F.col(node).alias("__n")).where("__n <> ''")
     long = n.where(F.length("__n") >= size)
     held = _grams(q, keys, "__q", size)
-    wanted = materialize(_grams(long, [*by, "node_id"], "__n", size))
-    some = materialize(wanted.select(*by, "gram").distinct())
-    often = materialize(join_few(held, some, [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(F.count("*").alias("many")))
-    anchors = wanted.join(often, [*by, "gram"], "left").groupBy(*by, "node_id").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("m"))
+    wanted = _grams(long, [*by, "node_id"], "__n", size)
+    often = materialize(only_wanted(held, wanted, gram).groupBy(*gram).agg(F.count("*").alias("many")))
+    anchors = wanted.join(often.hint("merge"), gram, "left").groupBy(*by, "node_id").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("m"))
     anchors = materialize(anchors.where("m.many > 0").select(*by, "node_id", F.col("m.gram").alias("gram")))
-    discard(wanted, some, often)
-    met = join_few(held, anchors, [*by, "gram"]).select(*keys, "node_id").join(q, keys).join(long, [*by, "node_id"]).where(F.contains("__q", "__n")).select(*keys, "node_id")
+    discard(often)
+    met = materialize(join_few(only_wanted(held, anchors, gram), anchors, gram).select(*keys, "node_id"))
+    met = met.join(long, [*by, "node_id"]).join(q, keys).where(F.contains("__q", "__n")).select(*keys, "node_id")
     short = materialize(n.where(F.length("__n") < size).select(*by, "node_id", F.col("__n").alias("gram")))
     for length in sorted(r[0] for r in short.select(F.length("gram")).distinct().collect()):
-        met = met.unionByName(join_few(_grams(q, keys, "__q", length), short.where(F.length("gram") == length), [*by, "gram"]).select(*keys, "node_id"))
+        some = short.where(F.length("gram") == length)
+        met = met.unionByName(join_few(only_wanted(_grams(q, keys, "__q", length), some, gram), some, gram).select(*keys, "node_id"))
     return met
 
 

@@ -31,6 +31,17 @@ def join_few(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataF
     return rows.join(F.broadcast(other) if few(other) else other.hint("merge"), on, how)
 
 
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str | Sequence[str], bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, before a join that shuffles them; rows of wanted keys all stay.
+
+    The keys are hashed to a bitmap of 2 ** bits places, at most 2 ** (bits - 6) rows of two numbers, so its broadcast is bounded (10.5 MB when full) whatever
+    the input; a fuller bitmap lets more rows pass and changes no result of the join.
+    """
+    place = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(1 << bits))
+    bitmap = wanted.select(place.alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 AS int))")).alias("__b"))
+    return rows.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bitmap), "__w").where("shiftright(__b, cast(__p & 63 AS int)) & 1 = 1").drop("__p", "__w", "__b")
+
+
 def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` written in ranges of its order, with the number of the range in ``__part``. Rows equal in ``by`` and ``order`` are in one range."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
